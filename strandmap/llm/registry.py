@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import media, packing, sharding, token_counts
+from strandmap.llm import media, packing, pieces, sharding, token_counts, toxicity
 from strandmap.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decoded(media.encoded(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("cosine_hash")).alias("feature"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a classifier fitted on the learning folds of ``labels``."""
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, and whether there are over 512."""
     return token_counts.with_limit(token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")), 512)
@@ -39,11 +47,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_pieces=False)
+
+
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_media_columns": op3_media_columns,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
