@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import media, packing, pieces, sharding, token_counts, toxicity
+from strandmap.llm import media, ngram_join, packing, pieces, sharding, suffix_dedup, token_counts, topk, toxicity
 from strandmap.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.joined(table(spark, sf_dir, "documents"), 0.75, 5)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near equal bytes in shards 0 to 15, equal texts together."""
     return sharding.sharded(table(spark, sf_dir, "documents"), 16).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -29,6 +34,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decoded(media.encoded(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("cosine_hash")).alias("feature"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a classifier fitted on the learning folds of ``labels``."""
     docs = table(spark, sf_dir, "documents")
@@ -52,13 +62,34 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_pieces=False)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 100-byte strings that start earlier."""
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), 100)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
     "op3_media_columns": op3_media_columns,
+    "op5_top_k": op5_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Rows whose vectors all have finite components; equal lengths, as in the tables.
+ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), x -> x[1] * x[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
