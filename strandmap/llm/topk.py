@@ -17,7 +17,7 @@ each other. Scores must lie within 64 bits; products are exact beyond 2^53 too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +124,25 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 _NONE = np.iinfo(np.int64).min
 
 
+def _locator(wide: int, k: int, span: int) -> Callable[[pa.Table], pa.Table]:
+    """From a group's histograms the bin of each query's kth score: low (its first and past-the-last score), most (rows at or above it)."""
+
+    def locate(table: pa.Table) -> pa.Table:
+        low, n = table["low"][0].as_py(), table["size"][0].as_py()
+        rows = sorted((x["query"], -x["bin"], x["n"]) for x in table["cells"][0].as_py())
+        base = np.full(n, -span) if low is None else np.frombuffer(low, np.int64).reshape(-1, 2)[:, 0]
+        out, sums, done = np.stack([base, base + wide], 1), np.zeros(n, np.int64), np.zeros(n, bool)
+        for q, b, c in rows:
+            if not done[q]:
+                sums[q] += c
+                first = base[q] + -b * wide
+                out[q] = first, first + wide
+                done[q] = sums[q] >= k
+        return pa.table([table["query_block"], table["dim"], pa.array([out.astype(np.int64).tobytes()], pa.binary()), pa.array([int(sums.max(initial=0))])], ["query_block", "dim", "low", "most"])
+
+    return locate
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows, fewer if there are fewer."""
     spark = vectors.sparkSession
@@ -165,26 +184,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
                     cell, n = np.unique(r * (BINS + 1) + bin_, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), batch.column("query_block")[i].as_py())), pa.array(np.full(len(cell), batch.column("dim")[i].as_py()), pa.int32()), pa.array(cell // (BINS + 1)), pa.array(cell % (BINS + 1)), pa.array(n.astype(np.int64))], ["query_block", "dim", "query", "bin", "n"])
 
-        def locate(table: pa.Table, wide: int = wide) -> pa.Table:
-            """low: first and past-the-last score of the bin of each query's kth; most: rows at or above it."""
-            cell, low = table["cells"][0], table["low"][0].as_py()
-            rows = sorted((x["query"], -x["bin"], x["n"]) for x in cell.as_py())
-            n = table["size"][0].as_py()
-            base = np.full(n, -span) if low is None else np.frombuffer(low, np.int64).reshape(-1, 2)[:, 0]
-            out, sums, done = np.stack([base, base + wide], 1), np.zeros(n, np.int64), np.zeros(n, bool)
-            for q, b, c in rows:
-                if not done[q]:
-                    sums[q] += c
-                    first = base[q] + -b * wide
-                    out[q] = first, first + wide
-                    done[q] = sums[q] >= k
-            return pa.table([table["query_block"], table["dim"], pa.array([out.astype(np.int64).tobytes()], pa.binary()), pa.array([int(sums.max(initial=0))])], ["query_block", "dim", "low", "most"])
-
         cells = meetings(state).mapInArrow(count, "query_block long, dim int, query long, bin long, n long").groupBy("query_block", "dim", "query", "bin").agg(F.sum("n").alias("n"))
         cells = cells.groupBy("query_block", "dim").agg(F.collect_list(F.struct("query", "bin", "n")).alias("cells"))
         sizes = queries.select("query_block", "dim", (F.octet_length("ids") / 8).cast("int").alias("size"))
         located = state.join(sizes, ["query_block", "dim"]).join(cells, ["query_block", "dim"], "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() as array<struct<query:long,bin:long,n:long>>)")))
-        found = shared_table(located.groupBy("query_block", "dim").applyInArrow(locate, "query_block long, dim int, low binary, most long"), "histograms")
+        found = shared_table(located.groupBy("query_block", "dim").applyInArrow(_locator(width, k, span), "query_block long, dim int, low binary, most long"), "histograms")
         state = found.select("query_block", "dim", "low")
         if width == 1 or (found.agg(F.max("most")).first()[0] or 0) <= FEW:
             break
