@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at once.
 STEP_BYTES = 1 << 20
@@ -94,3 +96,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> s)) * a
     x = (x ^ (x >> s)) * b
     return x ^ (x >> s)
+
+
+#: Bits of a table of ids; it filters less the more ids there are, and never loses one.
+ID_BITS = 1 << 26
+
+
+def id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ID_BITS))
+
+
+def id_table(ids: DataFrame, column: str) -> Broadcast:
+    """A table of bits (8 MB) in which the bits of all ids are set, on all executors; see ``id_bit``."""
+    spark = ids.sparkSession
+    bit = ids.select((id_bit(column) + 1).alias("bit"))  # Spark counts bits from 1
+    words = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("word")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
+    bits = np.zeros(ID_BITS // 8, np.uint8)  # 2048 pieces of 4096 bytes at most
+    for r in words:
+        bits[(r.word - 1) * 4096 : r.word * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return spark.sparkContext.broadcast(bits)
+
+
+def in_table(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (bits[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)

@@ -44,14 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.bpe import _powers, word_hashes
-from strandmap.llm.shared import mix, partitions, ranges, shared_table, steps, text_buffer
+from strandmap.llm.shared import id_bit, id_table, in_table, mix, partitions, ranges, shared_table, steps, text_buffer
 
 WINDOW, GRAM, HOT = 100, 32, 2000
 #: Texts that splitters are sampled from, about.
 SAMPLED = 3000
-BLOOM_BITS = 1 << 26
 NULL_ID = -(1 << 63)
-_FLAG = np.uint32(1 << 31)
 
 
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -112,10 +110,6 @@ def multikey_quicksort(data: np.ndarray, starts: np.ndarray, depth: int) -> tupl
     return order, np.cumsum(fresh) - 1
 
 
-def _bits(column: str) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS))
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -395,19 +389,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_py(), np.int64)))], ["id"])
 
-    touched = repeated.select("ids").mapInArrow(each, "id long").select((_bits("id") + 1).alias("bit"))  # Spark counts these from 1
-    words = touched.groupBy(F.expr("bitmap_bucket_number(bit)").alias("word")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)  # of 2^26 bits in pieces of 32768
-    for r in words:
-        bloom[(r.word - 1) * 4096 : r.word * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    shipped = spark.sparkContext.broadcast(bloom)
-    marked = rows.withColumn("bit", _bits("id"))
+    shipped = id_table(repeated.select("ids").mapInArrow(each, "id long"), "id")
+    marked = rows.withColumn("bit", id_bit("id"))
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept string"
 
     def inside(batch: pa.RecordBatch) -> np.ndarray:
-        bit = batch.column(2).to_numpy()
-        return (shipped.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        return in_table(shipped.value, batch.column(2).to_numpy())
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
