@@ -1 +1,5 @@
-"""Plans of the contact-map engine."""
+"""Views, parameters and the registered queries with their SQL."""
+
+from strandmap.plans import contact_queries, interval_queries
+
+MODULES = (contact_queries, interval_queries)
