@@ -154,7 +154,7 @@ def _by_text(table: pa.Table, ids: np.ndarray, marks: np.ndarray) -> list[np.nda
 
 def _repeated_anchors(rows: DataFrame, window: int, parts: int) -> DataFrame:
     """Anchors whose GRAM bytes occur at least twice (low: place in the text, high: 1 if over HOT times), as _BACK."""
-    buckets = min(65536, 4 * partitions(rows.sparkSession))
+    buckets = min(65536, partitions(rows.sparkSession))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
