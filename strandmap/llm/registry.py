@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import media, ngram_join, packing, pieces, sharding, suffix_dedup, token_counts, topk, toxicity
+from strandmap.llm import media, ngram_join, packing, pieces, sharding, suffix_dedup, token_counts, tool_calls, topk, toxicity
 from strandmap.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decoded(media.encoded(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("cosine_hash")).alias("feature"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users ask linked to what the assistant answers, as canonical JSON."""
+    return tool_calls.linked(*tool_calls.of_conversations(table(spark, sf_dir, "conversations")), tool_calls.REPLY)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
     "op3_media_columns": op3_media_columns,
+    "op4_tool_calls": op4_tool_calls,
     "op5_top_k": op5_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
