@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = (1 << 20) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,7 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{label}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that the table replaces
     return spark.read.schema(df.schema).parquet(path)
 
 

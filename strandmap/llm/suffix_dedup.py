@@ -160,7 +160,7 @@ def _repeated_anchors(rows: DataFrame, window: int, parts: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_buffer(batch.column(1))
-            for i, j in steps(offsets, 2 << 20):
+            for i, j in steps(offsets, (2 << 20) - 1):
                 own = offsets[i : j + 1] - offsets[i]
                 part = data[offsets[i] : offsets[j]]
                 x, _, _, doc, key = anchors(part, own, window)
@@ -229,7 +229,7 @@ def _suffixes(texts: DataFrame, repeated: DataFrame, splitters: np.ndarray, wind
         low, high = _unpacked(right, {"low": np.uint32, "high": np.uint32})
         own = _by_text(right, ids, marks)
         sets = []
-        for i, j in steps(offsets, 1 << 20):
+        for i, j in steps(offsets, (1 << 20) - 1):
             base = offsets[i]
             x, p0, count, doc, key = anchors(data[base : offsets[j]], offsets[i : j + 1] - base, window)
             place = np.concatenate([np.zeros(0, np.int64), *((low[own[d]].astype(np.int64) + offsets[d] - base) for d in range(i, j))])
@@ -285,13 +285,13 @@ def _suffixes(texts: DataFrame, repeated: DataFrame, splitters: np.ndarray, wind
 
 def word_hashes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """word_hashes in steps, for slices in rising order of their starts or not, of any amount of data."""
-    if len(data) <= 1 << 22:
+    if len(data) < 1 << 21:
         return word_hashes(data, starts, sizes)
     out = np.empty(len(starts), np.uint64)
-    cell = starts >> 21
+    cell = starts >> 20
     for c in np.unique(cell).tolist():
         at = np.flatnonzero(cell == c)
-        low = c << 21
+        low = c << 20
         high = int((starts[at] + sizes[at]).max())
         out[at] = word_hashes(data[low:high], starts[at] - low, sizes[at])
     return out
@@ -380,7 +380,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     if window < 2 * GRAM:
         raise ValueError(f"windows of at least {2 * GRAM} bytes")
     spark = docs.sparkSession
-    parts, buckets = min(65536, 4 * partitions(spark)), 4 * partitions(spark)
+    parts, buckets = min(65536, partitions(spark)), 2 * partitions(spark)
     rows = _rows(docs, id_col, text_col)
     repeated = shared_table(_repeated_anchors(rows, window, parts), "anchors")
 
