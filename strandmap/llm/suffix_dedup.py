@@ -380,7 +380,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     if window < 2 * GRAM:
         raise ValueError(f"windows of at least {2 * GRAM} bytes")
     spark = docs.sparkSession
-    parts, buckets = min(65536, partitions(spark)), 2 * partitions(spark)
+    parts, buckets = min(65536, 2 * partitions(spark)), partitions(spark)
     rows = _rows(docs, id_col, text_col)
     repeated = shared_table(_repeated_anchors(rows, window, parts), "anchors")
 
