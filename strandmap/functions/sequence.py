@@ -65,3 +65,8 @@ def tiles(seq: Column, length: int, step: int) -> Column:
     """Reads of ``length`` taken every ``step`` bases, as structs (start, read)."""
     last = F.length(seq) - length - 1
     return F.when(last >= step, F.transform(F.sequence(F.lit(step), F.greatest(last, F.lit(step)), F.lit(step)), lambda i: F.struct(i.alias("start"), F.substring(seq, i, F.lit(length)).alias("read"))))
+
+
+def reads(seq: Column, length: int) -> Column:
+    """The whole sequence as consecutive reads of ``length`` bases; the last one may be shorter."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))

@@ -21,8 +21,8 @@ def _over(f, *views):
 
 
 def _quals(seqs):
-    """Reads of 40 bases with qualities from their letters."""
-    return seqs.select("doc_id", F.substring("q", 1, 40).alias("seq")).where(F.length("seq") == 40).withColumn("qual", F.translate("seq", "ACGT", "#+5I")).withColumn("quals", S.phred(F.col("qual")))
+    """Whole sequences as consecutive reads of 40 bases, the last one as short as it is, with qualities from their letters."""
+    return seqs.select("doc_id", F.explode(S.reads(F.col("q"), 40)).alias("seq")).withColumn("qual", F.translate("seq", "ACGT", "#+5I")).withColumn("quals", S.phred(F.col("qual")))
 
 
 def _named(seqs):
@@ -56,7 +56,7 @@ QUERIES = {
     "c06_trim_position": _over(lambda s: G.trim_position(G.quality_profile(_quals(s), 10), 20, 0.99), "seqs"),
     "c07_trimmed": _over(lambda s: _quals(s).withColumn("cut", F.slice("quals", 1, 25)).where(S.mean_quality(F.col("cut")) >= 18).select("doc_id", F.substring("seq", 1, 25).alias("seq")), "seqs"),
     "c08_sampled": _over(lambda s: s.where("doc_id % 123 = 0").select("doc_id", F.length("q").alias("n")), "seqs"),
-    "c09_barcodes": _over(lambda s: _quals(s).select(F.concat_ws("_", S.barcode(F.col("seq"), 2), S.barcode(F.substring("seq", 3, 40), 2)).alias("code")).groupBy("code").agg(F.count("*").alias("n")), "seqs"),
+    "c09_barcodes": _over(lambda s: _quals(s).select(F.concat(S.barcode(F.col("seq"), 2), F.lit("_"), S.barcode(F.substring("seq", 3, 40), 2)).alias("code")).groupBy("code").agg(F.count("*").alias("n")), "seqs"),
     "c10_reverse_complement": _over(lambda s: s.select("doc_id", F.md5(S.reverse_complement(F.col("q"))).alias("rc")), "seqs"),
     "c34_short_numbers": _over(lambda c: c.where("cell_id = 1").select("start1", M.short_number(F.col("start1")).alias("text")), "contacts"),
     "c36_shades": _over(lambda c: C.fine_decay(c).where("cell_id < 4").select("cell_id", "bin", M.shade(F.col("n"), [0, 4, 10, 40], 16).alias("shade")), "contacts"),
