@@ -57,7 +57,7 @@ QUERIES = {
     "a30_named_set": _over(lambda s: s.where("type = 'F'").select("site_id", "chrom", "start", "end_"), "sites"),
     "c30_centers": _over(lambda f: I.centers(f), "frags"),
     "c32_expanded": _over(lambda s: I.expand(s.select("site_id", "chrom", "start", "end_"), 100, CHROM_LEN), "sites"),
-    "c33_expanded_2d": _over(lambda c: c.where("cell_id = 3").select("chrom1", F.greatest(F.col("start1") - 5000, F.lit(0)).alias("start1"), F.least(F.col("start1") + 5001, F.lit(CHROM_LEN)).alias("end1"), "chrom2", F.greatest(F.col("start2") - 9000, F.lit(0)).alias("start2"), F.least(F.col("start2") + 9001, F.lit(CHROM_LEN)).alias("end2")), "contacts"),
+    "c33_expanded_2d": _over(lambda c: c.select("chrom1", F.greatest(F.col("start1") - 5000, F.lit(0)).alias("start1"), F.least(F.col("start1") + 5001, F.lit(CHROM_LEN)).alias("end1"), "chrom2", F.greatest(F.col("start2") - 9000, F.lit(0)).alias("start2"), F.least(F.col("start2") + 9001, F.lit(CHROM_LEN)).alias("end2")), "contacts"),
     "d09_screened_runs": _over(lambda c: I.screen(_coverage_bins(c), F.col("area") >= 60, 1_000_000), "contacts"),
     "d10_percentile_peaks": _over(lambda t: I.screen(t.crossJoin(F.broadcast(t.agg(F.percentile("v", F.lit(0.9)).alias("cut")))), F.col("v") > F.col("cut"), 100_000), "tor"),
     "d11_well_covered": _over(lambda c: I.canonic(I.screen(_coverage_bins(c), F.col("area") >= 50, 1_000_000)).select("chrom", "start", "end_"), "contacts"),
@@ -65,9 +65,9 @@ QUERIES = {
     "d13_without_gaps": _over(lambda f, s: I.overlap_join(f, s.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end_").alias("end2")), ("chrom", "start", "end_"), ("chrom2", "start2", "end2"), how="left_anti"), "frags", "sites"),
     "d14_quadrants": _over(lambda c, s: MA.loop_counts(_near(c, s), ["chrom"]), "contacts", "sites"),
     "d16_per_kb": _over(lambda c, f: DO.per_kb(c, f, 64, 0.0001, 0.01), "contacts", "frags"),
-    "e01_nearest_fragment": _over(lambda c, f: I.nearest_end(c.where("cell_id < 8").select("chrom1", "start1").distinct(), f, "chrom1", "start1", 50_000), "contacts", "frags"),
+    "e01_nearest_fragment": _over(lambda c, f: I.nearest_end(c.select("chrom1", "start1").distinct(), f, "chrom1", "start1", 50_000), "contacts", "frags"),
     "e04_fends_joined": _over(lambda c, f: c.withColumns({"fend1": F.col("start1") % 1000 * 2, "fend2": F.col("start2") % 1000 * 2 + 1}).join(f.select((F.col("fid") * 2).alias("fend1"), F.col("chrom").alias("chr1"), F.col("start").alias("coord1")), "fend1", "left").join(f.select((F.col("fid") * 2 + 1).alias("fend2"), F.col("chrom").alias("chr2"), F.col("end_").alias("coord2")), "fend2", "left").groupBy("chr1", "chr2").agg(F.count("*").alias("n"), F.sum("coord1").alias("c1"), F.sum("coord2").alias("c2")), "contacts", "frags"),
-    "e07_offsets_merged": _over(lambda c: (lambda o: c.where("cell_id = 1").join(F.broadcast(o.select(F.col("chrom").alias("chrom1"), F.col("offset").alias("off1"))), "chrom1").join(F.broadcast(o.select(F.col("chrom").alias("chrom2"), F.col("offset").alias("off2"))), "chrom2").select((F.col("start1") + F.col("off1")).alias("x"), (F.col("start2") + F.col("off2")).alias("y"), "cnt"))(W.offsets(c.sparkSession.range(1, 20).select(F.col("id").alias("chrom"), F.lit(CHROM_LEN).cast("long").alias("len")), "chrom", "len").select("chrom", "offset")), "contacts"),
+    "e07_offsets_merged": _over(lambda c: (lambda o: c.join(F.broadcast(o.select(F.col("chrom").alias("chrom1"), F.col("offset").alias("off1"))), "chrom1").join(F.broadcast(o.select(F.col("chrom").alias("chrom2"), F.col("offset").alias("off2"))), "chrom2").select((F.col("start1") + F.col("off1")).alias("x"), (F.col("start2") + F.col("off2")).alias("y"), "cnt"))(W.offsets(c.sparkSession.range(1, 20).select(F.col("id").alias("chrom"), F.lit(CHROM_LEN).cast("long").alias("len")), "chrom", "len").select("chrom", "offset")), "contacts"),
     "e13_two_nearest": _over(lambda s: I.neighbours(_named(s, "F"), _second(s, "R"), 2, 0, 3_000_000, "site_id", "site2").select("site_id", "site2", "dist", "rank"), "sites"),
     "e14_containing_domain": _over(lambda c, f: I.containing(c, f, "chrom1", "start1", "fid", "fid1").groupBy("fid1").agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt")), "contacts", "frags"),
     "e16_site_classes": _over(lambda f, s: I.overlap_join(f, s.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end_").alias("end2"), "type"), ("chrom", "start", "end_"), ("chrom2", "start2", "end2")).groupBy("fid").agg(F.collect_set("type").alias("kinds")).select("fid", F.when(F.size("kinds") == 2, "B").otherwise(F.get("kinds", F.lit(0))).alias("kind")), "frags", "sites"),
@@ -101,7 +101,7 @@ QUERIES = {
     "g22_pile_up": _over(lambda c, s: MA.pile_up(_near(c, s), 200_000, 21), "contacts", "sites"),
     "g25_loop_enrichment": _over(lambda c, s: MA.focal_enrichment(_near(c, s), 50_000, 200_000, ["site1", "site2"]), "contacts", "sites"),
     "f56_loop_counts": _over(lambda c, s: MA.loop_counts(_near(c, s), ["cell_id"]), "contacts", "sites"),
-    "l06_genome_map": _over(lambda c: MA.binned_map(c.where("cell_id = 2"), 8_000_000), "contacts"),
+    "l06_genome_map": _over(lambda c: MA.binned_map(c, 8_000_000), "contacts"),
     "h01_cyclic_mean": _over(lambda c: W.cyclic_roll(_ordered(c), "ord", "trans", 11).select("ord", "rolled"), "contacts"),
     "h01_cyclic_sd": _over(lambda c: W.cyclic_roll(_ordered(c), "ord", "trans", 11, "sd").select("ord", "rolled"), "contacts"),
     "h03_cyclic_sum": _over(lambda c: W.cyclic_roll(_ordered(c), "ord", "trans", 11, "sum").select("ord", "rolled"), "contacts"),
@@ -118,8 +118,8 @@ QUERIES = {
     "i10_middle_slice": _over(lambda c: _ordered(c).where(F.col("ord").between(17, 48)).select("cell_id", "n"), "contacts"),
     "j04_distinct": _over(lambda c: c.select("cell_id", "chrom1", "chrom2").distinct(), "contacts"),
     "j05_canonic": _over(lambda s: I.canonic(_wide(s)), "sites"),
-    "j06_union": _over(lambda s, f: I.union(_wide(s), f.where("fid % 5 = 0")), "sites", "frags"),
-    "j07_intersection": _over(lambda s, f: I.intersect(_wide(s), f.where("fid % 3 = 0")), "sites", "frags"),
+    "j06_union": _over(lambda s, f: I.union(_wide(s), f), "sites", "frags"),
+    "j07_intersection": _over(lambda s, f: I.intersect(_wide(s), f), "sites", "frags"),
     "j08_force_range": _over(lambda f: I.force_range(f.withColumns({"start": F.col("start") - 500_000, "end_": F.col("end_") + 500_000}), 50_000_000), "frags"),
     "o_bins": _over(lambda f: I.bins(f.select("chrom").distinct(), 25_000_000, CHROM_LEN), "frags"),
     "o_cis_decay": _over(lambda c, f: DO.in_domains(c.where("chrom1 = chrom2"), f).groupBy((F.col("fid1") == F.col("fid2")).alias("intra"), F.floor(F.log2((F.col("start2") - F.col("start1")).cast("double"))).cast("int").alias("octave")).agg(F.count("*").alias("n")), "contacts", "frags"),

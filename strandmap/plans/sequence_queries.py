@@ -58,8 +58,8 @@ QUERIES = {
     "c08_sampled": _over(lambda s: s.where("doc_id % 123 = 0").select("doc_id", F.length("q").alias("n")), "seqs"),
     "c09_barcodes": _over(lambda s: _quals(s).select(F.concat(S.barcode(F.col("seq"), 2), F.lit("_"), S.barcode(F.substring("seq", 3, 40), 2)).alias("code")).groupBy("code").agg(F.count("*").alias("n")), "seqs"),
     "c10_reverse_complement": _over(lambda s: s.select("doc_id", F.md5(S.reverse_complement(F.col("q"))).alias("rc")), "seqs"),
-    "c34_short_numbers": _over(lambda c: c.where("cell_id = 1").select("start1", M.short_number(F.col("start1")).alias("text")), "contacts"),
-    "c36_shades": _over(lambda c: C.fine_decay(c).where("cell_id < 4").select("cell_id", "bin", M.shade(F.col("n"), [0, 4, 10, 40], 16).alias("shade")), "contacts"),
+    "c34_short_numbers": _over(lambda c: c.select("start1", M.short_number(F.col("start1")).alias("text")), "contacts"),
+    "c36_shades": _over(lambda c: C.fine_decay(c).select("cell_id", "bin", M.shade(F.col("n"), [0, 4, 10, 40], 16).alias("shade")), "contacts"),
     "c41_binomial": _over(lambda c: c.groupBy("cell_id").agg(F.count("*").alias("n")).select("cell_id", *(M.binomial(F.lit(k), F.col("n").cast("double"), F.lit(1 / 500)).alias(f"p{k}") for k in range(3))), "contacts"),
     "c42_kl_divergence": _over(lambda c: (lambda p: p.where("cell_id > 0").crossJoin(F.broadcast(p.where("cell_id = 0").select(F.col("p").alias("q")))).select("cell_id", M.kl_divergence(F.transform("p", lambda x: x + 0.001), F.transform("q", lambda x: x + 0.001)).alias("kl")))(_shares(C.fine_decay(c))), "contacts"),
     "c44_motif_classes": _over(lambda s: s.select("site_id", M.motif_class(F.col("start") % 100, F.col("start") % 77, 40).alias("kind")), "sites"),
@@ -70,12 +70,12 @@ QUERIES = {
     "f12_fragment_lengths": _over(lambda s: G.length_histogram(G.digest(_named(s)), 100, 3000), "seqs"),
     "f13_fragment_ranges": _over(lambda f: f.groupBy("chrom").agg(F.min("fid").alias("low"), F.max("fid").alias("high")), "frags"),
     "n12_fends": _over(lambda f: G.fends(f), "frags"),
-    "n13_tiles": _over(lambda s: s.where("doc_id % 20 = 0").select("doc_id", F.explode(S.tiles(F.col("q"), 40, 100)).alias("t")).select("doc_id", F.col("t.start").alias("start"), F.col("t.read").alias("read")), "seqs"),
+    "n13_tiles": _over(lambda s: s.select("doc_id", F.explode(S.tiles(F.col("q"), 40, 100)).alias("t")).select("doc_id", F.col("t.start").alias("start"), F.col("t.read").alias("read")), "seqs"),
     "k01_ks_test": _over(lambda c: K.ks_statistic(_two(c), "g", "n").select("d", "n0", "n1"), "contacts"),
     "k01_adjusted": _over(lambda c: K.adjusted(_two(c).select("cell_id", (F.col("f") / 10 + F.col("cell_id") / 10000).alias("p")), "p"), "contacts"),
     "k02_rank_sum": _over(lambda c: K.rank_sum(_two(c), "g", "n"), "contacts"),
     "k03_linear_fit": _over(lambda c: K.linear_fit(_two(c), "n", "f"), "contacts"),
-    "k04_correlations": _over(lambda c: K.correlation_matrix(C.fine_decay(c).where("cell_id < 12"), "cell_id", "bin", "n"), "contacts"),
+    "k04_correlations": _over(lambda c: K.correlation_matrix(C.fine_decay(c), "cell_id", "bin", "n"), "contacts"),
     "k05_spearman": _over(lambda c: K.spearman(_two(c), "n", "f"), "contacts"),
     "k06_z_scores": _over(lambda c: K.z_scores(_two(c).select("cell_id", "n", "f"), ["n", "f"]), "contacts"),
     "k11_ecdf": _over(lambda c: _two(c).select("cell_id", F.cume_dist().over(Window.partitionBy("g").orderBy("n")).alias("ecdf")), "contacts"),

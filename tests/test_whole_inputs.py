@@ -3,9 +3,12 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strandmap.plans.contact_queries import _OCT
+from strandmap.plans.fixtures import duckdb_sql
 
 TEXTS = [(1, "the quick brown fox jumps over the lazy dog and " * 7), (2, "short one"), (3, "x" * 40), (4, ""), (5, None), (6, "abcdefghijklmnopqrstuvwxyz" * 5 + "abc")]
 
@@ -59,3 +62,46 @@ def test_barcodes_of_all_reads(spark, texts):
     assert ask(spark, texts, "b01_demultiplexed", "code", "n") == Counter(Counter(s[:3] if s[:3] in ("ACG", "CAT", "GGA") else "NoCode" for _, s in reads()).items())
     codes = Counter(s[:3] for _, s in reads() if len(s) >= 3)
     assert ask(spark, texts, "f10_barcode_report", "barcode", "n", "freq", "expected") == rounded((b, n, n / len(reads()), b in ("ACG", "TTT")) for b, n in codes.items() if n / len(reads()) >= 0.02 or b in ("ACG", "TTT"))
+
+
+SF = "/root/testdata/sf0.001"
+#: What narrows each query's SQL to part of its input; without it, the SQL is over all rows.
+NARROW = {
+    "n13_tiles": " WHERE doc_id % 20 = 0",
+    "e01_nearest_fragment": " WHERE cell_id < 8",
+    "k04_correlations": " AND b.cell_id < 12",
+    "c36_shades": " WHERE cell_id < 4",
+    "c33_expanded_2d": " WHERE cell_id = 3",
+    "c34_short_numbers": " WHERE cell_id = 1",
+    "e07_offsets_merged": " WHERE cell_id = 1",
+    "l06_genome_map": " WHERE cell_id = 2",
+    "j06_union": " WHERE fid % 5 = 0",
+    "j07_intersection": " AND fid % 3 = 0",
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("lineitem", "part", "customer", "documents"):
+        c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def equal(spark, con, name, sql):
+    found = con.execute(sql)
+    columns = [d[0] for d in found.description]
+    got = entry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    six = lambda rows: Counter(tuple(float(f"{v:.6g}") if isinstance(v, float) else v for v in r) for r in rows)
+    assert six(got.select(columns).collect()) == six(found.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(NARROW))
+def test_query_takes_all_rows(spark, con, name):
+    sql = entry.oracle_sql()[name]
+    equal(spark, con, name, sql.replace(NARROW[name], ""))
+
+
+def test_decays_of_all_cells(spark, con):
+    equal(spark, con, "f42_decays_side_by_side", duckdb_sql(_OCT + " SELECT octave, cell_id, count(*) AS n FROM o GROUP BY ALL", "contacts"))
