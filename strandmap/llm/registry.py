@@ -35,8 +35,8 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users ask linked to what the assistant answers, as canonical JSON."""
-    return tool_calls.linked(*tool_calls.of_conversations(table(spark, sf_dir, "conversations")), tool_calls.REPLY)
+    """What users ask linked to what the assistant answers, as canonical JSON; a row each message that is no first answer."""
+    return tool_calls.linked(*tool_calls.of_conversations(table(spark, sf_dir, "conversations")), tool_calls.REPLY, further=True)
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
