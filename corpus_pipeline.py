@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every one but th
 last returns the columns of ``documents``. Stages are written as Parquet and
 read again before the next. Columns beyond doc_id and text pass through as
 they are, whatever their names; n_chars follows the text where it changes.
-Rows with a null id stay in every stage. An empty table stays one.
+Rows are judged one by one, also those that share an id or have none: of rows
+with the same id and text one stays, and a null id comes after all others. An
+empty table stays one.
 """
 
 from __future__ import annotations
@@ -23,21 +25,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_flagged(docs, classifier)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a column that no two share, in order of ids, and its name: doc_id where it is one. Of rows with the same id and text, one."""
+    if docs.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = shared_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keyed")
+    one = rows.groupBy("doc_id", F.sha2("text", 256)).agg(F.min(key).alias(key)).select(key)
+    return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").join(one, key, "left_semi")), key
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    joined = ngram_join.joined(docs, 0.75, 5)
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The row with the smallest id of each component of near copies."""
+    rows, key = _keyed(docs)
+    joined = ngram_join.joined(rows, 0.75, 5, id_col=key)
+    gone = joined.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier; a document of which nothing is left goes."""
-    kept = suffix_dedup.deduplicated(docs, 100, keep_text=True).where("n_removed > 0").select("doc_id", "n_bytes", "n_removed", "kept_text").dropDuplicates(["doc_id"])
-    kept = kept.withColumnsRenamed({"doc_id": "_id", "n_bytes": "_bytes", "n_removed": "_removed", "kept_text": "_kept"})
-    both = docs.join(kept, docs["doc_id"] == kept["_id"], "left").where("_removed is null or _removed < _bytes")
+    columns = docs.columns
+    docs, key = _keyed(docs)
+    kept = suffix_dedup.deduplicated(docs, 100, id_col=key, keep_text=True).where("n_removed > 0").select(key, "n_bytes", "n_removed", "kept_text")
+    kept = kept.withColumnsRenamed({key: "_id", "n_bytes": "_bytes", "n_removed": "_removed", "kept_text": "_kept"})
+    both = docs.join(kept, docs[key] == kept["_id"], "left").where("_removed is null or _removed < _bytes")
     text = F.when(F.col("_removed").isNotNull(), F.col("_kept")).otherwise(docs["text"])
     new = {"text": text} | ({"n_chars": F.when(F.col("_removed").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return both.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+    return both.select(*(new.get(c, docs[c]).alias(c) for c in columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
