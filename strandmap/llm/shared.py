@@ -7,8 +7,11 @@ text unless an operator says otherwise; a null id is kept as a null id.
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +28,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors reach; /tmp/checkpoints only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir, which all executors reach; on one machine, where that is unset, below its temporary folder.
+
+    On a cluster an unset spark.checkpoint.dir is an error: each executor would write to a disk of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: While a table is written: its shuffle files go when it is whole, and Python gets texts in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{label}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that the table replaces
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables that ``shared_table`` wrote, once what was made of them is written in its turn."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidied(result: Any = None) -> Any:
+    """``result``, after memory that numpy and Arrow keep for later has gone back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+    return result
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,8 +149,11 @@ def id_bit(column: str) -> Column:
 
 def id_table(ids: DataFrame, column: str) -> Broadcast:
     """A table of bits (8 MB) in which the bits of all ids are set, on all executors; see ``id_bit``."""
-    spark = ids.sparkSession
-    bit = ids.select((id_bit(column) + 1).alias("bit"))  # Spark counts bits from 1
+    return _bit_table(ids.select((id_bit(column) + 1).alias("bit")))
+
+
+def _bit_table(bit: DataFrame) -> Broadcast:
+    spark = bit.sparkSession  # which counts bits from 1
     words = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("word")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
     bits = np.zeros(ID_BITS // 8, np.uint8)  # 2048 pieces of 4096 bytes at most
     for r in words:
@@ -118,5 +161,10 @@ def id_table(ids: DataFrame, column: str) -> Broadcast:
     return spark.sparkContext.broadcast(bits)
 
 
+def key_table(keys: DataFrame, column: str) -> Broadcast:
+    """The same of values that are hashes themselves: the bits of their lowest digits."""
+    return _bit_table(keys.select((F.col(column).bitwiseAND(F.lit(ID_BITS - 1)) + 1).alias("bit")))
+
+
 def in_table(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return (bits[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)

@@ -44,9 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.bpe import _powers, word_hashes
-from strandmap.llm.shared import id_bit, id_table, in_table, mix, partitions, ranges, shared_table, steps, text_buffer
+from strandmap.llm.shared import ID_BITS, drop_table, in_table, key_table, mix, ranges, shared_table, steps, text_buffer, tidied
 
 WINDOW, GRAM, HOT = 100, 32, 2000
+#: Bytes of text in a part, about: what a Python worker holds at once, whatever the input's size.
+PART_BYTES = 8 << 20
 #: Texts that splitters are sampled from, about.
 SAMPLED = 3000
 NULL_ID = -(1 << 63)
@@ -110,25 +112,25 @@ def multikey_quicksort(data: np.ndarray, starts: np.ndarray, depth: int) -> tupl
     return order, np.cumsum(fresh) - 1
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """part, id, key, text: the key stands for id and text, and parts are dealt by it."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.xxhash64("id", "text")).select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "id", "key", "text")
 
 
-def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of every whole text, to tell rows with one id apart."""
-    return word_hashes(data, offsets[:-1], np.diff(offsets)).view(np.int64)
+_BACK = "part int, keys binary, low binary, high binary"
 
 
-_BACK = "part int, ids binary, marks binary, low binary, high binary"
+def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])).tolist() if len(sorted_values) else []
+    return list(zip(cut, [*cut[1:], len(sorted_values)], strict=False))
 
 
-def _sent_back(ids: np.ndarray, marks: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> list[tuple]:
-    """Rows of _BACK: values packed by the group of ids that they belong to."""
-    part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _sent_back(part: np.ndarray, keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
+    """Rows of _BACK: values packed by the part that their text is in."""
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    return [(int(part[a]), *(x[order[a:b]].tobytes() for x in (ids, marks, low.astype(np.uint32), high.astype(np.uint32)))) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=False)]
+    return [(int(part[order[a]]), *(x[order[a:b]].tobytes() for x in (keys, low.astype(np.uint32), high.astype(np.uint32)))) for a, b in _cuts(part[order])]
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -139,197 +141,180 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def _unpacked(table: pa.Table, names: dict[str, type]) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table[name])]) for name, kind in names.items()]
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table[name])]) for name, kind in names.items()]
 
 
-def _by_text(table: pa.Table, ids: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
-    """For each text (id, mark) the places in the unpacked columns of ``table`` that are its."""
-    own, mark = _unpacked(table, {"ids": np.int64, "marks": np.int64})
-    key = mix(own.view(np.uint64)) ^ mark.view(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    want = mix(ids.view(np.uint64)) ^ marks.view(np.uint64)
-    return [order[a:b] for a, b in zip(np.searchsorted(key, want, "left").tolist(), np.searchsorted(key, want, "right").tolist(), strict=True)]
+def _spread(table: pa.Table, name: str, size: int) -> np.ndarray:
+    """The part of every packed value of a column whose values have ``size`` bytes."""
+    return np.repeat(table["part"].to_numpy(), [len(x.as_buffer()) // size for x in table[name]])
 
 
-def _repeated_anchors(rows: DataFrame, window: int, parts: int) -> DataFrame:
-    """Anchors whose GRAM bytes occur at least twice (low: place in the text, high: 1 if over HOT times), as _BACK."""
-    buckets = min(65536, partitions(rows.sparkSession))
+_GRAMS = "part int, grams binary, often binary"
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, offsets = text_buffer(batch.column(1))
-            for i, j in steps(offsets, (2 << 20) - 1):
-                own = offsets[i : j + 1] - offsets[i]
-                part = data[offsets[i] : offsets[j]]
-                x, _, _, doc, key = anchors(part, own, window)
-                marks = _marks(part, own)
-                bucket = (key % np.uint64(buckets)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                out = []
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=False):
-                    at = order[a:b]
-                    texts, place = np.unique(doc[at], return_inverse=True)
-                    out.append((int(bucket[a]), ids[i:j][texts].tobytes(), marks[texts].tobytes(), key[at].tobytes(), place.astype(np.uint16).tobytes(), (x[at] - own[doc[at]]).astype(np.uint32).tobytes()))
-                if out:
-                    yield from _table(out, packed).to_batches()
-
-    packed = "bucket int, ids binary, marks binary, keys binary, texts binary, places binary"
+
+def _repeated_grams(rows: DataFrame, window: int, buckets: int) -> DataFrame:
+    """For every part the anchors' hashes that occur at least twice in all texts, and which of them over HOT times.
+
+    A part sends each of its hashes once, with a count, however many texts of it share it.
+    """
+    packed = "bucket int, part int, grams binary, counts binary"
+
+    def emit(group: pa.Table) -> pa.Table:
+        data, offsets = text_buffer(group["text"])
+        part = group["part"][0].as_py()
+        found = [np.zeros(0, np.uint64)]
+        for i, j in steps(offsets):
+            found.append(anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)[4])
+        grams, counts = np.unique(np.concatenate(found), return_counts=True)
+        bucket = (grams % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, grams, counts = bucket[order], grams[order], np.minimum(counts[order], 65535).astype(np.uint16)
+        return tidied(_table([(int(bucket[a]), part, grams[a:b].tobytes(), counts[a:b].tobytes()) for a, b in _cuts(bucket)], packed))
 
     def meet(bucket: pa.Table) -> pa.Table:
-        key, place = _unpacked(bucket, {"keys": np.uint64, "places": np.uint32})
-        spot = (key >> np.uint64(42)).astype(np.int64)
-        often = np.bincount(spot, minlength=1)[spot] > 1
-        kept = np.flatnonzero(often)
-        values, inverse, counts = np.unique(key[kept], return_inverse=True, return_counts=True)
-        kept, counts = kept[counts[inverse] > 1], counts[inverse][counts[inverse] > 1]
-        ids, marks = [], []
-        for a, b, c in zip(bucket["ids"], bucket["marks"], bucket["texts"], strict=True):
-            texts = np.frombuffer(c.as_py(), np.uint16)
-            ids.append(np.frombuffer(a.as_py(), np.int64)[texts])
-            marks.append(np.frombuffer(b.as_py(), np.int64)[texts])
-        return _table(_sent_back(np.concatenate(ids)[kept], np.concatenate(marks)[kept], place[kept], counts > HOT, parts), _BACK)
-
-    return rows.mapInArrow(emit, packed).groupBy("bucket").applyInArrow(meet, _BACK)
-
-
-def _splitters(rows: DataFrame, window: int, buckets: int) -> np.ndarray:
+        grams, counts = _unpacked(bucket, {"grams": np.uint64, "counts": np.uint16})
+        part = _spread(bucket, "grams", 8)
+        order = np.argsort(grams, kind="stable")
+        values = grams[order]
+        start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        total = np.repeat(np.add.reduceat(counts[order].astype(np.int64), start) if len(start) else start, np.diff(np.append(start, len(values))))
+        order, total = order[total > 1], total[total > 1]
+        part, grams, often = part[order], grams[order], (total > HOT).astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        return tidied(_table([(int(part[order[a]]), grams[order[a:b]].tobytes(), often[order[a:b]].tobytes()) for a, b in _cuts(part[order])], _GRAMS))
+
+    return rows.select("part", "text").groupBy("part").applyInArrow(emit, packed).groupBy("bucket").applyInArrow(meet, _GRAMS)
+
+
+def _splitters(rows: DataFrame, window: int, buckets: int, n: int) -> np.ndarray:
     """Leading tokens that cut the suffixes of a sample of texts into ranges of equal size."""
-    n = rows.count()
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(0))
             for i, j in steps(offsets):
                 part = data[offsets[i] : offsets[j]]
                 x, *_ = anchors(part, offsets[i : j + 1] - offsets[i], window)
                 yield pa.RecordBatch.from_arrays([pa.array([tokens_at(part, x)[::16].tobytes()], pa.binary())], ["tokens"])
+        tidied()
 
-    got = rows.sample(min(1.0, SAMPLED / max(1, n)), seed=1).mapInArrow(leading, "tokens binary").collect()
+    got = rows.select("text").sample(min(1.0, SAMPLED / max(1, n)), seed=1).mapInArrow(leading, "tokens binary").collect()
     tokens = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.tokens, np.uint64) for r in got)]))
     return np.unique(tokens[np.linspace(0, len(tokens) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(tokens) else tokens
 
 
-_SUFFIXES = "bucket int, ids binary, marks binary, first binary, sizes binary, shifts binary, bytes binary"
+#: Buckets below 0 hold what a part knows to be repeated by itself, those from ``hashed`` on the windows of hot classes by hash.
+_SUFFIXES = "bucket int, part int, ids binary, keys binary, first binary, sizes binary, shifts binary, bytes binary"
 
 
 def _suffixes(texts: DataFrame, repeated: DataFrame, splitters: np.ndarray, window: int, parts: int, hashed: int) -> DataFrame:
-    """The suffixes at repeated anchors, dealt to buckets; windows of hot classes by hash in buckets from ``hashed`` on, and what a task knows to be repeated in bucket -1 - part."""
+    """The suffixes at repeated anchors, dealt to buckets."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([], _SUFFIXES)
         out: list[tuple] = []
-        ids = left["id"].to_numpy()
+        ids, keys, part = left["id"].to_numpy(), left["key"].to_numpy(), left["part"][0].as_py()
         data, offsets = text_buffer(left["text"])
-        marks = _marks(data, offsets)
-        low, high = _unpacked(right, {"low": np.uint32, "high": np.uint32})
-        own = _by_text(right, ids, marks)
+        grams, often = _unpacked(right, {"grams": np.uint64, "often": np.uint8})
+        by = np.argsort(grams, kind="stable")
+        grams, often = grams[by], often[by]
         sets = []
-        for i, j in steps(offsets, (1 << 20) - 1):
+        for i, j in steps(offsets):
             base = offsets[i]
-            x, p0, count, doc, key = anchors(data[base : offsets[j]], offsets[i : j + 1] - base, window)
-            place = np.concatenate([np.zeros(0, np.int64), *((low[own[d]].astype(np.int64) + offsets[d] - base) for d in range(i, j))])
-            hot = np.concatenate([np.zeros(0, np.uint32), *(high[own[d]] for d in range(i, j))])
-            by = np.argsort(place, kind="stable")
-            place, hot = place[by], hot[by]
-            at = np.minimum(np.searchsorted(place, x), max(0, len(place) - 1))
-            known = place[at] == x if len(place) else np.zeros(len(x), bool)
-            sets.append(np.stack([x + base, p0 + base, count, doc + i, np.where(known, hot[at], 0) if len(place) else x, key.view(np.int64)], 1)[known])
-        x, p0, count, doc, hot, key = np.concatenate(sets).T if sets else np.zeros((6, 0), np.int64)
+            x, p0, count, doc, gram = anchors(data[base : offsets[j]], offsets[i : j + 1] - base, window)
+            at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            known = grams[at] == gram
+            sets.append(np.stack([x + base, p0 + base, count, doc + i, often[at]], 1)[known])
+        x, p0, count, doc, hot = np.concatenate(sets).T
+        del sets
         size = count + window - 1
         whole = mix(word_hashes_of(data, p0, size) ^ mix((x - p0).astype(np.uint64)))
-        order = np.lexsort([p0 - offsets[doc], ids[doc], whole])  # copies within the task: the earliest first
+        order = np.lexsort([p0 - offsets[doc], ids[doc], whole])  # copies within the part: the earliest first
         same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]]) if len(order) else np.zeros(0, bool)
         lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
         later = same & ((ids[doc[order]] != ids[doc[lead]]) | (p0[order] - offsets[doc[order]] != p0[lead] - offsets[doc[lead]]))
         gone = order[later]
-        if len(gone):
-            first = p0[gone] - offsets[doc[gone]]
-            for r in _sent_back(ids[doc[gone]], marks[doc[gone]], first, first + count[gone], parts):
-                out.append((-1 - r[0], r[1], r[2], r[3], r[4], b"", b""))
+
+        def known_here(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+            if len(d):
+                out.append((-1 - part, part, b"", keys[d].tobytes(), low.astype(np.uint32).tobytes(), high.astype(np.uint32).tobytes(), b"", b""))
+
+        known_here(doc[gone], p0[gone] - offsets[doc[gone]], p0[gone] - offsets[doc[gone]] + count[gone])
         kept = np.sort(order[~later])
+        del order, same, lead, whole
         plain = kept[hot[kept] == 0]
         bucket = np.searchsorted(splitters, tokens_at(data, x[plain]), "right")
         order = np.argsort(bucket, kind="stable")
         plain, bucket = plain[order], bucket[order]
-        ends = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        for a, b in zip(ends.tolist(), [*ends[1:].tolist(), len(bucket)], strict=False):
+        for a, b in _cuts(bucket):
             s = plain[a:b]
-            out.append((int(bucket[a]), ids[doc[s]].tobytes(), marks[doc[s]].tobytes(), (p0[s] - offsets[doc[s]]).astype(np.uint32).tobytes(), size[s].astype(np.uint8 if window + window - GRAM < 256 else np.uint32).astype(np.uint32).tobytes(), (x[s] - p0[s]).astype(np.uint32).tobytes(), data[ranges(p0[s], size[s])].tobytes()))
+            out.append((int(bucket[a]), part, ids[doc[s]].tobytes(), keys[doc[s]].tobytes(), (p0[s] - offsets[doc[s]]).astype(np.uint32).tobytes(), size[s].astype(np.uint16).tobytes(), (x[s] - p0[s]).astype(np.uint16).tobytes(), data[ranges(p0[s], size[s])].tobytes()))
         s = kept[hot[kept] != 0]
         if len(s):
             p = ranges(p0[s], count[s])
             d = np.repeat(doc[s], count[s])
             h = word_hashes_of(data, p, np.full(len(p), window))
-            _, later, lead = _earliest(h, ids[d], p - offsets[d])
-            del lead
-            g = np.flatnonzero(later)
-            for r in _sent_back(ids[d[g]], marks[d[g]], p[g] - offsets[d[g]], p[g] - offsets[d[g]] + 1, parts):
-                out.append((-1 - r[0], r[1], r[2], r[3], r[4], b"", b""))
+            later = _later(h, ids[d], p - offsets[d])
+            known_here(d[later], (p - offsets[d])[later], (p - offsets[d])[later] + 1)
             k = np.flatnonzero(~later)
             b = (h[k] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             k, b = k[order], b[order]
-            ends = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            for a, e in zip(ends.tolist(), [*ends[1:].tolist(), len(b)], strict=False):
+            for a, e in _cuts(b):
                 w = k[a:e]
-                out.append((hashed + int(b[a]), ids[d[w]].tobytes(), marks[d[w]].tobytes(), (p[w] - offsets[d[w]]).astype(np.uint32).tobytes(), h[w].tobytes(), b"", b""))
-        return _table(out, _SUFFIXES)
+                out.append((hashed + int(b[a]), part, ids[d[w]].tobytes(), keys[d[w]].tobytes(), (p[w] - offsets[d[w]]).astype(np.uint32).tobytes(), h[w].tobytes(), b"", b""))
+        return tidied(_table(out, _SUFFIXES))
 
     return texts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(cut, _SUFFIXES)
 
 
 def word_hashes_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """word_hashes in steps, for slices in rising order of their starts or not, of any amount of data."""
-    if len(data) < 1 << 21:
+    if len(data) < 1 << 20:
         return word_hashes(data, starts, sizes)
     out = np.empty(len(starts), np.uint64)
-    cell = starts >> 20
+    cell = starts >> 19
     for c in np.unique(cell).tolist():
         at = np.flatnonzero(cell == c)
-        low = c << 20
+        low = c << 19
         high = int((starts[at] + sizes[at]).max())
         out[at] = word_hashes(data[low:high], starts[at] - low, sizes[at])
     return out
 
 
-def _earliest(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, id and place; which (in input order) have an earlier one of their key; the earliest of each."""
+def _later(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which have an earlier one of their key, by id and place."""
     order = np.lexsort([places, ids, keys])
     k = keys[order]
     fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
     lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))] if len(k) else order
     later = np.zeros(len(k), bool)
     later[order] = (ids[order] != ids[lead]) | (places[order] != places[lead])
-    leads = np.empty_like(order)
-    leads[order] = lead
-    return order, later, leads
+    return later
 
 
-def _repeated_windows(suffixes: DataFrame, window: int, parts: int, hashed: int) -> DataFrame:
+def _repeated_windows(suffixes: DataFrame, window: int, hashed: int) -> DataFrame:
     """Runs of repeated windows (low: first, high: one past the last), as _BACK."""
 
-    def runs(ids: np.ndarray, marks: np.ndarray, places: np.ndarray) -> list[tuple]:
-        order = np.lexsort([places, marks, ids])
-        i, m, p = ids[order], marks[order], places[order].astype(np.int64)
-        fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (p[1:] > p[:-1] + 1)]) if len(p) else np.zeros(0, bool)
+    def runs(part: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[tuple]:
+        order = np.lexsort([places, keys, part])
+        g, k, p = part[order], keys[order], places[order].astype(np.int64)
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (p[1:] > p[:-1] + 1)]) if len(p) else np.zeros(0, bool)
         start = np.flatnonzero(fresh)
         end = np.append(start[1:], len(p)) - 1 if len(start) else start
-        return _sent_back(i[start], m[start], p[start], p[end] + 1, parts)
+        return _sent_back(g[start], k[start], p[start], p[end] + 1)
 
     def judge(bucket: pa.Table) -> pa.Table:
         number = bucket["bucket"][0].as_py()
         if number < 0:
-            return pa.table([pa.array([-1 - number] * bucket.num_rows, pa.int32()), *(bucket[c] for c in ("ids", "marks", "first", "sizes"))], [x.split()[0] for x in _BACK.split(", ")])
+            return pa.table([bucket[c] for c in ("part", "keys", "first", "sizes")], [x.split()[0] for x in _BACK.split(", ")])
+        part = _spread(bucket, "ids", 8)
         if number >= hashed:
-            ids, marks, first, keys = _unpacked(bucket, {"ids": np.int64, "marks": np.int64, "first": np.uint32, "sizes": np.uint64})
-            _, later, _ = _earliest(keys, ids, first)
-            return _table(runs(ids[later], marks[later], first[later]), _BACK)
-        ids, marks, first, size, shift, data = _unpacked(bucket, {"ids": np.int64, "marks": np.int64, "first": np.uint32, "sizes": np.uint32, "shifts": np.uint32, "bytes": np.uint8})
+            ids, keys, first, hashes = _unpacked(bucket, {"ids": np.int64, "keys": np.int64, "first": np.uint32, "sizes": np.uint64})
+            later = _later(hashes, ids, first)
+            return tidied(_table(runs(part[later], keys[later], first[later]), _BACK))
+        ids, keys, first, size, shift, data = _unpacked(bucket, {"ids": np.int64, "keys": np.int64, "first": np.uint32, "sizes": np.uint16, "shifts": np.uint16, "bytes": np.uint8})
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
         order, group = multikey_quicksort(data, start + shift, GRAM)
@@ -341,8 +326,8 @@ def _repeated_windows(suffixes: DataFrame, window: int, parts: int, hashed: int)
         count = size[some] - window + 1
         done = np.cumsum(count)
         low = 0
-        while low < len(some):  # whole classes, about a million windows at once
-            high = int(np.searchsorted(done, (done[low - 1] if low else 0) + (1 << 20), "right"))
+        while low < len(some):  # whole classes, about half a million windows at once
+            high = int(np.searchsorted(done, (done[low - 1] if low else 0) + (1 << 19), "right"))
             high = max(low + 1, high)
             while high < len(some) and kind[some[high]] == kind[some[high - 1]]:
                 high += 1
@@ -352,11 +337,10 @@ def _repeated_windows(suffixes: DataFrame, window: int, parts: int, hashed: int)
             own = np.repeat(s, c)
             inside = p - start[own]
             h = word_hashes_of(data, p, np.full(len(p), window))
-            key = mix(h ^ mix((kind[own] * 256 + shift[own] - inside).astype(np.uint64)))
-            _, later, _ = _earliest(key, ids[own], first[own] + inside)
-            out += runs(ids[own][later], marks[own][later], (first[own] + inside)[later])
+            later = _later(mix(h ^ mix((kind[own] * 65536 + shift[own] - inside).astype(np.uint64))), ids[own], first[own] + inside)
+            out += runs(part[own][later], keys[own][later], (first[own] + inside)[later])
             low = high
-        return _table(out, _BACK)
+        return tidied(_table(out, _BACK))
 
     return suffixes.groupBy("bucket").applyInArrow(judge, _BACK)
 
@@ -377,55 +361,56 @@ def _digest(data: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, ke
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row a row of ``docs``: id_col, n_bytes, n_removed, n_spans and kept_sha256, or kept_text with ``keep_text`` (without the bytes of characters that were cut in two)."""
-    if window < 2 * GRAM:
-        raise ValueError(f"windows of at least {2 * GRAM} bytes")
-    spark = docs.sparkSession
-    parts, buckets = min(65536, 2 * partitions(spark)), partitions(spark)
-    rows = _rows(docs, id_col, text_col)
-    repeated = shared_table(_repeated_anchors(rows, window, parts), "anchors")
+    if not 2 * GRAM <= window < 1 << 15:
+        raise ValueError(f"windows of {2 * GRAM} to {(1 << 15) - 1} bytes")
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+    parts, grams, buckets = (min(1 << 30, 1 + size // x) for x in (PART_BYTES, 4 * PART_BYTES, PART_BYTES))
+    rows = _rows(docs, id_col, text_col, parts)
+    repeated = shared_table(_repeated_grams(rows, window, grams), "grams")
+    splitters = _splitters(rows, window, buckets, n)
+    hashed = len(splitters) + 1
+    windows = shared_table(_repeated_windows(_suffixes(rows, repeated, splitters, window, parts, hashed), window, hashed), "windows")
+    drop_table(repeated)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_py(), np.int64)))], ["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_buffer(), np.int64)))], ["key"])
 
-    shipped = id_table(repeated.select("ids").mapInArrow(each, "id long"), "id")
-    marked = rows.withColumn("bit", id_bit("id"))
+    shipped = key_table(windows.select("keys").mapInArrow(each, "key long"), "key")
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept string"
 
     def inside(batch: pa.RecordBatch) -> np.ndarray:
-        return in_table(shipped.value, batch.column(2).to_numpy())
+        return in_table(shipped.value, batch.column(2).to_numpy().astype(np.int64) & (ID_BITS - 1))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.filter(pa.array(inside(batch)))
-            ids = own.column(0).to_numpy()
-            part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), own.column(0), own.column(1)], ["part", "id", "text"])
+            yield batch.filter(pa.array(inside(batch)))
+        tidied()
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint32)
         for batch in batches:
             own = batch.filter(pa.array(~inside(batch)))
-            data, offsets = text_buffer(own.column(1))
-            got = [_digest(data[a:b], none, none, window, keep_text) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            columns = list(zip(*got, strict=True)) if got else [()] * 4
-            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["id", *names])
+            data, offsets = text_buffer(own.column(3))
+            for i, j in steps(offsets):
+                got = [_digest(data[a:b], none, none, window, keep_text) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+                columns = list(zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([own.column(1).slice(i, j - i), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["id", *names])
+        tidied()
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["id"].to_numpy()
+        ids, keys = left["id"].to_numpy(), left["key"].to_numpy()
         data, offsets = text_buffer(left["text"])
-        low, high = _unpacked(right, {"low": np.uint32, "high": np.uint32}) if right.num_rows else (np.zeros(0, np.uint32),) * 2
-        own = _by_text(right, ids, _marks(data, offsets)) if right.num_rows else [np.zeros(0, np.int64)] * len(ids)
-        got = [(int(ids[d]), *_digest(data[offsets[d] : offsets[d + 1]], low[own[d]], high[own[d]], window, keep_text)) for d in range(len(ids))]
-        return _table(got, schema)
-
-    texts = marked.mapInArrow(chosen, "part int, id long, text string")
-    hashed = buckets + 1
-    suffixes = _suffixes(texts, repeated, _splitters(rows, window, buckets), window, parts, hashed)
-    windows = shared_table(_repeated_windows(suffixes, window, parts, hashed), "windows")
-    some = texts.groupBy("part").cogroup(windows.groupBy("part")).applyInArrow(removed, schema)
-    out = some.unionByName(marked.mapInArrow(untouched, schema))
+        own, low, high = _unpacked(right, {"keys": np.int64, "low": np.uint32, "high": np.uint32})
+        order = np.argsort(own, kind="stable")
+        own, low, high = own[order], low[order], high[order]
+        first, last = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
+        got = [(int(ids[d]), *_digest(data[offsets[d] : offsets[d + 1]], low[first[d] : last[d]], high[first[d] : last[d]], window, keep_text)) for d in range(len(ids))]
+        return tidied(_table(got, schema))
+
+    some = rows.mapInArrow(chosen, "part int, id long, key long, text string").groupBy("part").cogroup(windows.groupBy("part")).applyInArrow(removed, schema)
+    out = some.unionByName(rows.mapInArrow(untouched, schema))
     last = "kept_text" if keep_text else "kept_sha256"
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last))
