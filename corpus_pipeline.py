@@ -16,51 +16,59 @@ from pyspark.sql import functions as F
 
 from strandmap.llm import ngram_join, packing, suffix_dedup, toxicity
 from strandmap.llm.registry import tokenizer_file
-from strandmap.llm.shared import shared_table, table
+from strandmap.llm.shared import drop_table, shared_table, table
+
+#: Columns of ``documents`` that stages read.
+USED = ("doc_id", "text", "lang", "n_chars")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with plain names: those the stages use as they are, any other by its place, so none clashes or needs quotes."""
+    return docs.toDF(*(c if c in USED else f"_{i}" for i, c in enumerate(docs.columns)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not flag; it learns from the labels of what it is given."""
-    classifier = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.without_flagged(docs, classifier)
+    rows = _plain(docs)
+    return toxicity.without_flagged(rows, toxicity.fit(rows, table(spark, sf_dir, "labels"))).toDF(*docs.columns)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+def _keyed(rows: DataFrame) -> tuple[DataFrame, str]:
     """Rows with a column that no two share, in order of ids, and its name: doc_id where it is one. Of rows with the same id and text, one."""
-    if docs.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").isEmpty():
-        return docs, "doc_id"
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
+    if rows.groupBy("doc_id").count().where("`count` > 1 or doc_id is null").isEmpty():
+        return rows, "doc_id"
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    rows = shared_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keyed")
-    one = rows.groupBy("doc_id", F.sha2("text", 256)).agg(F.min(key).alias(key)).select(key)
-    return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").join(one, key, "left_semi")), key
+    keyed = shared_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    one = keyed.groupBy("doc_id", F.sha2("text", 256)).agg(F.min("_key").alias("_key")).select("_key")
+    return keyed.where("doc_id is null").unionByName(keyed.where("doc_id is not null").join(one, "_key", "left_semi")), "_key"
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each component of near copies."""
-    rows, key = _keyed(docs)
+    plain = _plain(docs)
+    rows, key = _keyed(plain)
     joined = ngram_join.joined(rows, 0.75, 5, id_col=key)
     gone = joined.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    return rows.join(gone, key, "left_anti").select(docs.columns)
+    return rows.join(gone, key, "left_anti").select(plain.columns).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier; a document of which nothing is left goes."""
-    columns = docs.columns
-    docs, key = _keyed(docs)
-    kept = suffix_dedup.deduplicated(docs, 100, id_col=key, keep_text=True).where("n_removed > 0").select(key, "n_bytes", "n_removed", "kept_text")
-    kept = kept.withColumnsRenamed({key: "_id", "n_bytes": "_bytes", "n_removed": "_removed", "kept_text": "_kept"})
-    both = docs.join(kept, docs[key] == kept["_id"], "left").where("_removed is null or _removed < _bytes")
-    text = F.when(F.col("_removed").isNotNull(), F.col("_kept")).otherwise(docs["text"])
-    new = {"text": text} | ({"n_chars": F.when(F.col("_removed").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return both.select(*(new.get(c, docs[c]).alias(c) for c in columns))
+    plain = _plain(docs)
+    rows, key = _keyed(plain)
+    kept = suffix_dedup.deduplicated(rows, 100, id_col=key, keep_text=True).where("n_removed > 0")
+    kept = kept.select(F.col(key).alias("_row"), (F.col("n_removed") < F.col("n_bytes")).alias("_some"), F.col("kept_text").alias("_kept"))
+    both = rows.join(kept, rows[key] == kept["_row"], "left").where("_some is null or _some")
+    cut = F.col("_some").isNotNull()
+    new = {"text": F.when(cut, F.col("_kept")).otherwise(F.col("text"))}
+    if "n_chars" in plain.columns:
+        new["n_chars"] = F.when(cut, F.char_length("_kept").cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.select(*(new.get(c, F.col(c)).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.packed(docs, tokenizer_file("byte_bpe_50k.json"), 1024)
+    return packing.packed(_plain(docs), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("suffix_dedup", cut_repeats), ("packing", pack)]
@@ -68,9 +76,11 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("suffix_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written into the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
+        drop_table(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

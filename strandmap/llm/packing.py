@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.bpe import encoder
-from strandmap.llm.shared import steps, text_buffer
+from strandmap.llm.shared import steps, text_buffer, tidied
 
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,6 +104,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, linear: float
                     yield from flush()
         if held:
             yield from flush()
+        tidied()
 
     schema = f"`{id_col}` long, {SCHEMA}" + ", ids array<int>" * with_ids
     names = [id_col, *(x.split()[0] for x in SCHEMA.split(", ")), *["ids"] * with_ids]
