@@ -527,6 +527,11 @@ def encoder(path: str, ids: bool = False) -> Encoder:
     return Encoder(path, ids)
 
 
+def forget_encoders() -> None:
+    """Give up what a reused worker keeps from a stage of encoding before work that needs the room."""
+    encoder.cache_clear()
+
+
 def counted(path: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Token counts of any number of texts, in steps of bounded memory."""
     e = encoder(path)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.bpe import _powers, word_hashes
+from strandmap.llm.bpe import _powers, forget_encoders, word_hashes
 from strandmap.llm.shared import ID_BITS, drop_table, in_table, key_table, mix, ranges, shared_table, steps, text_buffer, tidied
 
 WINDOW, GRAM, HOT = 100, 32, 2000
@@ -160,6 +160,7 @@ def _repeated_grams(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     packed = "bucket int, part int, grams binary, counts binary"
 
     def emit(group: pa.Table) -> pa.Table:
+        forget_encoders()
         data, offsets = text_buffer(group["text"])
         part = group["part"][0].as_py()
         found = [np.zeros(0, np.uint64)]
