@@ -39,10 +39,14 @@ def decay_bin(d: Column) -> Column:
     """
     edges = F.lit(DECAY_EDGES).cast("array<long>")
     n = len(DECAY_EDGES)
-    guess = F.least(F.greatest(F.ceil(8 * F.log2(F.greatest(d, F.lit(1)).cast("double"))).cast("int") - 80, F.lit(0)), F.lit(n - 1))
-    down = (guess > 0) & (d <= F.get(edges, F.greatest(guess - 1, F.lit(0))))
-    up = d > F.get(edges, guess)
-    return F.when(d > DECAY_EDGES[-1], None).when(d < 0, None).otherwise(F.when(down, guess - 1).when(up, guess + 1).otherwise(guess)).cast("int")
+
+    def settled(x: Column) -> Column:
+        guess = F.least(F.greatest(F.ceil(8 * F.log2(F.greatest(x, F.lit(1)).cast("double"))).cast("int") - 80, F.lit(0)), F.lit(n - 1))
+        right = lambda g: F.when((g > 0) & (x <= F.get(edges, F.greatest(g - 1, F.lit(0)))), g - 1).when(x > F.get(edges, g), g + 1).otherwise(g)
+        return F.when((x >= 0) & (x <= DECAY_EDGES[-1]), F.get(F.transform(F.array(guess), right), 0))
+
+    # within a lambda the distance is a value: as a column it would be written out at every use
+    return F.get(F.transform(F.array(d), settled), 0).cast("int")
 
 
 def tor_class(tor: Column, d: Column | None = None) -> Column:

@@ -38,10 +38,23 @@ def js_divergence(p: Column, q: Column) -> Column:
     return (kl_divergence(p, m) + kl_divergence(q, m)) / 2
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number of at least 0 with so many digits, rounded by its exact binary value and half to even, as C prints it."""
+    unit = 10**digits
+    low = F.floor(x * unit).cast("double")
+    bits = [2 ** k for k in range((2 * unit).bit_length(), -1, -1) if 2 * unit & 2**k]
+    over = x * float(bits[0]) - (2 * low + 1)  # x * 2 * unit less the middle, in terms that are exact
+    for b in bits[1:]:
+        over = over + x * float(b)
+    k = (low + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(low % 2)).cast("long")
+    return F.concat(F.floor(k / unit).cast("string"), F.lit("."), F.lpad((k % unit).cast("string"), digits, "0"))
+
+
 def short_number(n: Column, digits: int = 2) -> Column:
     """1500000 as 1.50M: G, M and K from a thousand each."""
-    fmt = lambda x, s: F.format_string(f"%.{digits}f{s}", x.cast("double"))
-    return F.when(n >= 1e9, fmt(n / 1e9, "G")).when(n >= 1e6, fmt(n / 1e6, "M")).when(n >= 1e3, fmt(n / 1e3, "K")).otherwise(fmt(n, ""))
+    sign, size = F.when(n < 0, "-").otherwise(""), F.abs(n).cast("double")
+    large = n.cast("double")
+    return F.when(large >= 1e9, F.concat(fixed(size / 1e9, digits), F.lit("G"))).when(large >= 1e6, F.concat(fixed(size / 1e6, digits), F.lit("M"))).when(large >= 1e3, F.concat(fixed(size / 1e3, digits), F.lit("K"))).otherwise(F.concat(sign, fixed(size, digits)))
 
 
 def shade(value: Column, breaks: list[float], shades: int = 256) -> Column:

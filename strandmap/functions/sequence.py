@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,23 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "GATCgatc", "CTAGctag")
 
 
+def pieces(seq: Column, site: str) -> Column:
+    """The sequence cut before every recognition site, overlapping ones included; read once from left to right."""
+    return F.split(seq, f"(?={re.escape(site)})", -1)
+
+
+def piece_ends(parts: Column) -> Column:
+    """Where each of an array of consecutive pieces ends."""
+    none = F.array().cast("array<int>")
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(x))).alias("ends"))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("ends")), step, lambda s: s["ends"])
+
+
 def site_positions(seq: Column, site: str) -> Column:
     """0-based starts of a recognition site, overlaps included, as an array."""
-    n = len(site)
-    return F.when(F.length(seq) >= n, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) - n, F.lit(0))), lambda i: F.when(F.substring(seq, i + 1, F.lit(n)) == site, i)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    ends = piece_ends(pieces(seq, site))
+    return F.concat(F.when(F.startswith(seq, F.lit(site)), F.array(F.lit(0))).otherwise(none), F.slice(ends, 1, F.size(ends) - 1))
 
 
 def split_at_site(seq: Column, site: str = "GATC", min_len: int = 16, strict: bool = False) -> Column:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.functions.sequence import barcode, site_positions
+from strandmap.functions.sequence import barcode, piece_ends, pieces
 
 
 def digest(seqs: DataFrame, site: str = "GATC", max_len: int = 10**9) -> DataFrame:
     """Fragments between recognition sites of every sequence (chrom, seq): fid, start, end_, length, base counts, gc; what follows the last site is no fragment."""
-    cuts = seqs.select("chrom", "seq", F.posexplode(site_positions(F.col("seq"), site)).alias("k", "at"))
-    w = Window.partitionBy("chrom").orderBy("k")
-    rows = cuts.withColumn("start", F.coalesce(F.lag("at").over(w), F.lit(0))).withColumn("end_", F.col("at")).where("end_ > start")
-    body = F.substring(F.col("seq"), F.col("start") + 1, F.col("end_") - F.col("start"))
+    parts = seqs.select("chrom", F.startswith("seq", F.lit(site)).cast("int").alias("_first"), pieces(F.col("seq"), site).alias("_parts"))
+    parts = parts.select("chrom", "_first", "_parts", piece_ends(F.col("_parts")).alias("_ends"))
+    body, whole = F.col("p.body"), F.size("_parts") - 1
+    cuts = parts.select("chrom", "_first", F.posexplode(F.arrays_zip(F.slice("_parts", 1, whole).alias("body"), F.slice("_ends", 1, whole).alias("end"))).alias("_at", "p"))
     count = lambda b: F.length(body) - F.length(F.replace(body, F.lit(b), F.lit("")))
-    rows = rows.select("chrom", "k", "start", "end_", (F.col("end_") - F.col("start")).alias("length"), *(count(b).alias(f"n_{b.lower()}") for b in "ACGT"))
+    rows = cuts.select("chrom", (F.col("_at") + F.col("_first")).alias("k"), (F.col("p.end") - F.length(body)).alias("start"), F.col("p.end").alias("end_"), F.length(body).alias("length"), *(count(b).alias(f"n_{b.lower()}") for b in "ACGT"))
     return rows.where(F.col("length") <= max_len).withColumn("gc", F.floor((F.col("n_g") + F.col("n_c")) / F.col("length") * 1000) / 1000)
 
 

@@ -121,7 +121,7 @@ SQL = {
     "f36_unique_ends": _sql(_SYM + " SELECT cell_id, count(*) AS n_ends FROM (SELECT DISTINCT cell_id, chrom1, start1 // 1000000 FROM s) GROUP BY ALL"),
     "f40_normalised_decay": _sql(_D + ", h AS (SELECT round_even(2 * greatest(0.0, log10(1 + abs(d)) - 3), 0) / 2 AS bin, count(*) AS n FROM dd WHERE d >= 1000 GROUP BY ALL) SELECT bin, n, n / sum(n) OVER () / (pow(10.0, bin + 3) * (sqrt(10.0) - 1)) AS density FROM h"),
     "f41_octave_decay": _sql(_OCT + " SELECT octave, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM o GROUP BY octave"),
-    "f42_decays_side_by_side": _sql(_OCT + " SELECT octave, " + ", ".join(f"nullif(count(*) FILTER (cell_id = {i}), 0) AS cell{i}" for i in range(4)) + " FROM o WHERE cell_id < 4 GROUP BY ALL"),
+    "f42_decays_side_by_side": _sql(_OCT + " SELECT octave, cell_id, count(*) AS n FROM o GROUP BY ALL"),
     "f43_pair_correlations": _sql(" SELECT chrom1, chrom2, count(*) AS n, corr(start1, start2) AS r FROM contacts WHERE chrom1 <> chrom2 GROUP BY ALL HAVING count(*) >= 30"),
     "f46_marginal": _sql(_SYM + " SELECT chrom1 AS chrom, start1 // 1000000 * 1000000 AS start, count(*) AS area, sum(cnt)::BIGINT AS weighted FROM s GROUP BY ALL"),
     "f51_alignment": _sql(f", w AS (SELECT cell_id, count(*) AS n, count(*) FILTER (chrom1 <> chrom2) AS ntrans, corr(start1 / {CHROM_LEN}, start2 / {CHROM_LEN}) FILTER (chrom1 <> chrom2) AS c_align FROM contacts GROUP BY ALL), p AS (SELECT cell_id, corr(start1 / {CHROM_LEN}, start2 / {CHROM_LEN}) AS r FROM contacts WHERE chrom1 <> chrom2 GROUP BY cell_id, chrom1, chrom2 HAVING count(*) > 3), f AS (SELECT cell_id, avg((r > 0)::INT) AS frac_pos FROM p GROUP BY ALL) SELECT * FROM w LEFT JOIN f USING (cell_id)"),

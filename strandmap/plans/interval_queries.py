@@ -157,7 +157,7 @@ SQL = {
     "a30_named_set": _S(" SELECT site_id, chrom, start, end_ FROM sites WHERE type = 'F'", "sites"),
     "c30_centers": _S(" SELECT fid, chrom, (start + end_) // 2 AS start, (start + end_) // 2 + 1 AS end_ FROM frags", "frags"),
     "c32_expanded": _S(f" SELECT site_id, chrom, greatest(start - 100, 0) AS start, least(end_ + 100, {CHROM_LEN}) AS end_ FROM sites", "sites"),
-    "c33_expanded_2d": _S(f" SELECT chrom1, greatest(start1 - 5000, 0) AS start1, least(start1 + 5001, {CHROM_LEN}) AS end1, chrom2, greatest(start2 - 9000, 0) AS start2, least(start2 + 9001, {CHROM_LEN}) AS end2 FROM contacts WHERE cell_id = 3", "contacts"),
+    "c33_expanded_2d": _S(f" SELECT chrom1, greatest(start1 - 5000, 0) AS start1, least(start1 + 5001, {CHROM_LEN}) AS end1, chrom2, greatest(start2 - 9000, 0) AS start2, least(start2 + 9001, {CHROM_LEN}) AS end2 FROM contacts", "contacts"),
     "d09_screened_runs": _S(_MARG + _runs("w", "area >= 60", 1000000) + " SELECT * FROM rn", "contacts"),
     "d10_percentile_peaks": _S(_runs("tor", "v > (SELECT quantile_cont(v, 0.9) FROM tor)", 100000) + " SELECT * FROM rn", "tor"),
     "d11_well_covered": _S(_MARG + _runs("w", "area >= 50", 1000000) + " SELECT chrom, start, end_ FROM rn", "contacts"),
@@ -165,9 +165,9 @@ SQL = {
     "d13_without_gaps": _S(" SELECT * FROM frags f WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE s.chrom = f.chrom AND s.start < f.end_ AND f.start < s.end_)", "frags", "sites"),
     "d14_quadrants": _S(_NEAR + f" SELECT chrom, {_QUAD} FROM nr GROUP BY ALL", "contacts", "sites"),
     "d16_per_kb": _S(", s AS (SELECT chrom1 AS c, start1 AS p FROM contacts UNION ALL SELECT chrom2, start2 FROM contacts), k AS (SELECT fid, count(*) AS n, count(*) / ((any_value(end_) - any_value(start)) / 1000) / 64 AS cov FROM s JOIN frags ON c = chrom AND p >= start AND p < end_ GROUP BY fid) SELECT * FROM k WHERE cov BETWEEN 0.0001 AND 0.01", "contacts", "frags"),
-    "e01_nearest_fragment": _S(", p AS (SELECT DISTINCT chrom1, start1 FROM contacts WHERE cell_id < 8), e AS (SELECT chrom, bin, max(struct_pack(fid := fid, side := side)) AS f FROM (SELECT fid, chrom, start // 10 AS bin, 5 AS side FROM frags WHERE end_ - start >= 15 UNION ALL SELECT fid, chrom, end_ // 10, 3 FROM frags WHERE end_ - start >= 15) GROUP BY ALL), r AS (SELECT chrom1, start1, f.fid AS fid, f.side AS side, bin - start1 // 10 AS off, row_number() OVER (PARTITION BY chrom1, start1 ORDER BY abs(bin - start1 // 10), bin DESC) AS k FROM p JOIN e ON chrom = chrom1 AND abs(bin - start1 // 10) < 5000) SELECT chrom1, start1, fid, side, off FROM r WHERE k = 1", "contacts", "frags"),
+    "e01_nearest_fragment": _S(", p AS (SELECT DISTINCT chrom1, start1 FROM contacts), e AS (SELECT chrom, bin, max(struct_pack(fid := fid, side := side)) AS f FROM (SELECT fid, chrom, start // 10 AS bin, 5 AS side FROM frags WHERE end_ - start >= 15 UNION ALL SELECT fid, chrom, end_ // 10, 3 FROM frags WHERE end_ - start >= 15) GROUP BY ALL), r AS (SELECT chrom1, start1, f.fid AS fid, f.side AS side, bin - start1 // 10 AS off, row_number() OVER (PARTITION BY chrom1, start1 ORDER BY abs(bin - start1 // 10), bin DESC) AS k FROM p JOIN e ON chrom = chrom1 AND abs(bin - start1 // 10) < 5000) SELECT chrom1, start1, fid, side, off FROM r WHERE k = 1", "contacts", "frags"),
     "e04_fends_joined": _S(" SELECT a.chrom AS chr1, b.chrom AS chr2, count(*) AS n, sum(a.start)::BIGINT AS c1, sum(b.end_)::BIGINT AS c2 FROM contacts LEFT JOIN frags a ON a.fid = start1 % 1000 LEFT JOIN frags b ON b.fid = start2 % 1000 GROUP BY ALL", "contacts", "frags"),
-    "e07_offsets_merged": _S(f" SELECT start1 + (chrom1 - 1) * {CHROM_LEN} AS x, start2 + (chrom2 - 1) * {CHROM_LEN} AS y, cnt FROM contacts WHERE cell_id = 1", "contacts"),
+    "e07_offsets_merged": _S(f" SELECT start1 + (chrom1 - 1) * {CHROM_LEN} AS x, start2 + (chrom2 - 1) * {CHROM_LEN} AS y, cnt FROM contacts", "contacts"),
     "e13_two_nearest": _S(", p AS (SELECT a.site_id, b.site_id AS site2, b.start AS s2, CASE WHEN b.start >= a.end_ THEN b.start - a.end_ + 1 WHEN b.end_ <= a.start THEN b.end_ - a.start - 1 ELSE 0 END AS dist FROM sites a JOIN sites b ON a.type = 'F' AND b.type = 'R' AND a.chrom = b.chrom), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY abs(dist), s2, site2) AS INT) AS rank FROM p WHERE abs(dist) <= 3000000) SELECT site_id, site2, dist, rank FROM r WHERE rank <= 2", "sites"),
     "e14_containing_domain": _S(" SELECT fid AS fid1, count(*) AS n, sum(cnt)::BIGINT AS cnt FROM contacts JOIN frags ON chrom = chrom1 AND start1 >= start AND start1 < end_ GROUP BY ALL", "contacts", "frags"),
     "e16_site_classes": _S(" SELECT fid, CASE WHEN count(DISTINCT type) = 2 THEN 'B' ELSE min(type) END AS kind FROM frags f JOIN sites s ON s.chrom = f.chrom AND s.start < f.end_ AND f.start < s.end_ GROUP BY fid", "frags", "sites"),
@@ -200,7 +200,7 @@ SQL = {
     "g22_pile_up": _S(_NEAR + ", g AS (SELECT CAST(least((dx + 200000) * 21 // 400001, 20) AS INT) AS x, CAST(least((dy + 200000) * 21 // 400001, 20) AS INT) AS y, count(*) AS n FROM nr GROUP BY ALL) SELECT x, y, n, log2(n / ((SELECT sum(n) FROM g) / 441)) AS enr FROM g", "contacts", "sites"),
     "g25_loop_enrichment": _S(_NEAR + ", g AS (SELECT site1, site2, count(*) FILTER (abs(dx) <= 50000 AND abs(dy) <= 50000) AS n1, count(*) AS n2 FROM nr GROUP BY ALL) SELECT *, CASE WHEN n1 > 0 THEN greatest(log2(n1 / n2 / 0.0625), -1.0) ELSE -1.0 END AS enr FROM g", "contacts", "sites"),
     "f56_loop_counts": _S(_NEAR + f" SELECT cell_id, {_QUAD} FROM nr GROUP BY ALL", "contacts", "sites"),
-    "l06_genome_map": _S(" SELECT chrom1, start1 // 8000000 AS bin1, chrom2, start2 // 8000000 AS bin2, sum(cnt)::BIGINT AS n, log2(sum(cnt) + 1) AS shade FROM contacts WHERE cell_id = 2 GROUP BY ALL", "contacts"),
+    "l06_genome_map": _S(" SELECT chrom1, start1 // 8000000 AS bin1, chrom2, start2 // 8000000 AS bin2, sum(cnt)::BIGINT AS n, log2(sum(cnt) + 1) AS shade FROM contacts GROUP BY ALL", "contacts"),
     "h01_cyclic_mean": _S(_CYC + " SELECT ord, avg(trans) AS rolled FROM y GROUP BY ALL", "contacts"),
     "h01_cyclic_sd": _S(_CYC + " SELECT ord, stddev_samp(trans) AS rolled FROM y GROUP BY ALL", "contacts"),
     "h03_cyclic_sum": _S(_CYC + " SELECT ord, sum(trans)::BIGINT AS rolled FROM y GROUP BY ALL", "contacts"),
@@ -217,8 +217,8 @@ SQL = {
     "i10_middle_slice": _S(_ORD + " SELECT cell_id, n FROM o WHERE ord BETWEEN 17 AND 48", "contacts"),
     "j04_distinct": _S(" SELECT DISTINCT cell_id, chrom1, chrom2 FROM contacts", "contacts"),
     "j05_canonic": _S(_WIDE + _merge("wd") + " SELECT * FROM cn", "sites"),
-    "j06_union": _S(_WIDE + ", u AS (SELECT * FROM wd UNION ALL SELECT chrom, start, end_ FROM frags WHERE fid % 5 = 0)" + _merge("u") + " SELECT * FROM cn", "sites", "frags"),
-    "j07_intersection": _S(_WIDE + " SELECT a.chrom, greatest(a.start, b.start) AS start, least(a.end_, b.end_) AS end_ FROM wd a JOIN frags b ON a.chrom = b.chrom AND a.start < b.end_ AND b.start < a.end_ AND fid % 3 = 0", "sites", "frags"),
+    "j06_union": _S(_WIDE + ", u AS (SELECT * FROM wd UNION ALL SELECT chrom, start, end_ FROM frags)" + _merge("u") + " SELECT * FROM cn", "sites", "frags"),
+    "j07_intersection": _S(_WIDE + " SELECT a.chrom, greatest(a.start, b.start) AS start, least(a.end_, b.end_) AS end_ FROM wd a JOIN frags b ON a.chrom = b.chrom AND a.start < b.end_ AND b.start < a.end_", "sites", "frags"),
     "j08_force_range": _S(" SELECT * FROM (SELECT fid, chrom, greatest(start - 500000, 0) AS start, least(end_ + 500000, 50000000) AS end_ FROM frags) WHERE start < end_", "frags"),
     "o_bins": _S(f" SELECT chrom, s AS start, least(s + 25000000, {CHROM_LEN}) AS end_ FROM (SELECT DISTINCT chrom FROM frags), (SELECT unnest(range(0, {CHROM_LEN}, 25000000)) AS s)", "frags"),
     "o_cis_decay": _S(_IN + " SELECT fid1 = fid2 AS intra, CAST(floor(log2(start2 - start1)) AS INT) AS octave, count(*) AS n FROM ind WHERE chrom1 = chrom2 GROUP BY ALL", "contacts", "frags"),

@@ -92,7 +92,10 @@ QUERIES = {
 }
 
 _S = duckdb_sql
-_Q = ", rd AS (SELECT doc_id, substr(q, 1, 40) AS seq, translate(substr(q, 1, 40), 'ACGT', '#+5I') AS qual FROM seqs WHERE length(q) >= 40), ql AS (SELECT *, list_transform(string_split(qual, ''), lambda c: ascii(c) - 33) AS quals FROM rd)"
+_Q = (
+    ", rd AS (SELECT doc_id, substr(q, s + 1, 40) AS seq FROM (SELECT doc_id, q, unnest(range(0, length(q), 40)) AS s FROM seqs))"
+    ", ql AS (SELECT *, list_transform(string_split(translate(seq, 'ACGT', '#+5I'), ''), lambda c: ascii(c) - 33) AS quals FROM rd)"
+)
 _CUTS = ", cu AS (SELECT doc_id, q, list_filter(range(0, length(q) - 3), lambda i: substr(q, i + 1, 4) = 'GATC') AS cuts FROM seqs)"
 _DIG = _CUTS + ", p AS (SELECT doc_id AS chrom, q, unnest(cuts) AS pos, unnest(range(0, len(cuts))) AS k FROM cu), f AS (SELECT chrom, CAST(k AS INT) AS k, q, coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY k), 0) AS start, pos AS end_ FROM p), g AS (SELECT *, substr(q, start + 1, end_ - start) AS b, end_ - start AS length FROM f WHERE end_ > start), dg AS (SELECT chrom, k, start, end_, length, " + ", ".join(f"length - length(replace(b, '{x}', '')) AS n_{x.lower()}" for x in "ACGT") + " FROM g)"
 _TWO = ", tw AS (SELECT cell_id, count(*) AS n, avg((chrom1 <> chrom2)::INT) AS f, CAST(cell_id % 2 AS INT) AS g FROM contacts GROUP BY ALL)"
@@ -104,30 +107,30 @@ _R = _RULES
 SQL = {
     "c01_split_reads": _S(_CUTS + ", e AS (SELECT doc_id, list_distinct(list_concat(list_transform(cuts, lambda i: i + 4), [length(q)])) AS ends FROM cu), x AS (SELECT doc_id, unnest(list_sort(ends)) AS hi FROM e), y AS (SELECT doc_id, CAST(coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY hi), 0) AS INT) AS lo, CAST(hi AS INT) AS hi FROM x) SELECT * FROM y WHERE hi - lo >= 16", "seqs"),
     "c03_share_of_good": _S(_Q + " SELECT doc_id, len(list_filter(quals, lambda x: x >= 20)) / len(quals) AS share, list_sum(quals) / len(quals) AS mean FROM ql", "seqs"),
-    "c04_quality_profile": _S(_Q + ", p AS (SELECT CAST(unnest(range(0, 40)) AS INT) AS pos, unnest(quals) AS x FROM ql) SELECT pos, avg((x >= 20)::INT) AS share FROM p GROUP BY ALL", "seqs"),
-    "c06_trim_position": _S(_Q + ", p AS (SELECT CAST(unnest(range(0, 40)) AS INT) AS pos, unnest(quals) AS x FROM ql), g AS (SELECT pos, avg((x >= 10)::INT) AS share FROM p GROUP BY ALL) SELECT min(pos) AS pos FROM g WHERE pos >= 19 AND share < 0.99", "seqs"),
-    "c07_trimmed": _S(_Q + " SELECT doc_id, substr(seq, 1, 25) AS seq FROM ql WHERE list_sum(quals[1:25]) / 25 >= 18", "seqs"),
+    "c04_quality_profile": _S(_Q + ", p AS (SELECT CAST(unnest(range(0, len(quals))) AS INT) AS pos, unnest(quals) AS x FROM ql) SELECT pos, avg((x >= 20)::INT) AS share FROM p GROUP BY ALL", "seqs"),
+    "c06_trim_position": _S(_Q + ", p AS (SELECT CAST(unnest(range(0, len(quals))) AS INT) AS pos, unnest(quals) AS x FROM ql), g AS (SELECT pos, avg((x >= 10)::INT) AS share FROM p GROUP BY ALL) SELECT min(pos) AS pos FROM g WHERE pos >= 19 AND share < 0.99", "seqs"),
+    "c07_trimmed": _S(_Q + " SELECT doc_id, substr(seq, 1, 25) AS seq FROM ql WHERE list_sum(quals[1:25]) / least(25, len(quals)) >= 18", "seqs"),
     "c08_sampled": _S(" SELECT doc_id, length(q) AS n FROM seqs WHERE doc_id % 123 = 0", "seqs"),
-    "c09_barcodes": _S(_Q + " SELECT substr(seq, 1, 2) || '_' || substr(seq, 3, 2) AS code, count(*) AS n FROM ql GROUP BY ALL", "seqs"),
+    "c09_barcodes": _S(_Q + " SELECT CASE WHEN length(seq) >= 4 THEN substr(seq, 1, 2) || '_' || substr(seq, 3, 2) END AS code, count(*) AS n FROM ql GROUP BY ALL", "seqs"),
     "c10_reverse_complement": _S(" SELECT doc_id, md5(translate(reverse(q), 'GATC', 'CTAG')) AS rc FROM seqs", "seqs"),
-    "c34_short_numbers": _S(" SELECT start1, CASE WHEN start1 >= 1000000 THEN printf('%.2fM', start1 / 1e6) WHEN start1 >= 1000 THEN printf('%.2fK', start1 / 1e3) ELSE printf('%.2f', start1::DOUBLE) END AS text FROM contacts WHERE cell_id = 1", "contacts"),
-    "c36_shades": _S(_FINE + ", v AS (SELECT cell_id, bin, greatest(least(n, 40), 0) AS v FROM fine WHERE cell_id < 4) SELECT cell_id, bin, CASE WHEN v <= 4 THEN least(CAST(floor(v / 4 * 16) AS INT) + 1, 16) WHEN v <= 10 THEN least(CAST(floor((v - 4) / 6 * 16) AS INT) + 17, 32) ELSE least(CAST(floor((v - 10) / 30 * 16) AS INT) + 33, 48) END AS shade FROM v", "contacts"),
+    "c34_short_numbers": _S(" SELECT start1, CASE WHEN start1 >= 1000000 THEN printf('%.2fM', start1 / 1e6) WHEN start1 >= 1000 THEN printf('%.2fK', start1 / 1e3) ELSE printf('%.2f', start1::DOUBLE) END AS text FROM contacts", "contacts"),
+    "c36_shades": _S(_FINE + ", v AS (SELECT cell_id, bin, greatest(least(n, 40), 0) AS v FROM fine) SELECT cell_id, bin, CASE WHEN v <= 4 THEN least(CAST(floor(v / 4 * 16) AS INT) + 1, 16) WHEN v <= 10 THEN least(CAST(floor((v - 4) / 6 * 16) AS INT) + 17, 32) ELSE least(CAST(floor((v - 10) / 30 * 16) AS INT) + 33, 48) END AS shade FROM v", "contacts"),
     "c41_binomial": _S(", n AS (SELECT cell_id, count(*) AS n FROM contacts GROUP BY ALL) SELECT cell_id, pow(1 - 1 / 500, n) AS p0, n / 500 * pow(1 - 1 / 500, n - 1) AS p1, n * (n - 1) / 2 / 250000 * pow(1 - 1 / 500, n - 2) AS p2 FROM n", "contacts"),
     "c42_kl_divergence": _S(_SH + " SELECT a.cell_id, sum((a.p + 0.001) * ln((a.p + 0.001) / (b.p + 0.001))) AS kl FROM gr a JOIN gr b USING (o) WHERE a.cell_id > 0 AND b.cell_id = 0 GROUP BY ALL", "contacts"),
     "c44_motif_classes": _S(" SELECT site_id, CASE WHEN start % 100 >= 40 AND start % 77 >= 40 THEN 'C' WHEN start % 100 >= 40 THEN 'F' WHEN start % 77 >= 40 THEN 'R' ELSE 'B' END AS kind FROM sites", "sites"),
     "c45_loop_types": _S(", x AS (SELECT CASE WHEN site_id % 4 = 0 THEN 'N' ELSE type END AS a, CASE site_id % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'F' ELSE 'R' END AS b FROM sites) SELECT CASE WHEN a = 'N' AND b = 'N' THEN 'none' WHEN a = 'N' OR b = 'N' THEN 'one_sided' WHEN a = 'F' AND b = 'R' THEN 'conv' WHEN a = 'R' AND b = 'F' THEN 'diver' ELSE 'same' END AS kind, count(*) AS n FROM x GROUP BY ALL", "sites"),
     "b01_demultiplexed": _S(_Q + " SELECT CASE WHEN substr(seq, 1, 3) IN ('ACG', 'CAT', 'GGA') THEN substr(seq, 1, 3) ELSE 'NoCode' END AS code, count(*) AS n FROM ql GROUP BY ALL", "seqs"),
-    "f10_barcode_report": _S(_Q + ", n AS (SELECT substr(seq, 1, 3) AS barcode, count(*) AS n FROM ql GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER () AS freq, barcode IN ('ACG', 'TTT') AS expected FROM n) SELECT * FROM f WHERE freq >= 0.02 OR expected", "seqs"),
+    "f10_barcode_report": _S(_Q + ", n AS (SELECT CASE WHEN length(seq) >= 3 THEN substr(seq, 1, 3) END AS barcode, count(*) AS n FROM ql GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER () AS freq, barcode IN ('ACG', 'TTT') AS expected FROM n) SELECT * FROM f WHERE barcode IS NOT NULL AND (freq >= 0.02 OR expected)", "seqs"),
     "f11_digest": _S(_DIG + " SELECT *, floor((n_g + n_c) / length * 1000) / 1000 AS gc FROM dg", "seqs"),
     "f12_fragment_lengths": _S(_DIG + " SELECT least(length // 100, 30) * 100 AS bin, count(*) AS n FROM dg GROUP BY ALL", "seqs"),
     "f13_fragment_ranges": _S(" SELECT chrom, min(fid) AS low, max(fid) AS high FROM frags GROUP BY ALL", "frags"),
     "n12_fends": _S(" SELECT fid * 2 AS fend, chrom, start AS coord, start + 1 AS coord_end FROM frags UNION ALL SELECT fid * 2 + 1, chrom, end_ - 1, end_ FROM frags", "frags"),
-    "n13_tiles": _S(", t AS (SELECT doc_id, q, unnest(range(100, length(q) - 40, 100)) AS s FROM seqs WHERE doc_id % 20 = 0) SELECT doc_id, CAST(s AS INT) AS start, substr(q, s, 40) AS read FROM t", "seqs"),
+    "n13_tiles": _S(", t AS (SELECT doc_id, q, unnest(range(100, length(q) - 40, 100)) AS s FROM seqs) SELECT doc_id, CAST(s AS INT) AS start, substr(q, s, 40) AS read FROM t", "seqs"),
     "k01_ks_test": _S(_TWO + ", e AS (SELECT DISTINCT n FROM tw), d AS (SELECT abs((SELECT count(*) FROM tw WHERE g = 0 AND tw.n <= e.n) / (SELECT count(*) FROM tw WHERE g = 0) - (SELECT count(*) FROM tw WHERE g = 1 AND tw.n <= e.n) / (SELECT count(*) FROM tw WHERE g = 1)) AS gap FROM e) SELECT max(gap) AS d, (SELECT count(*) FROM tw WHERE g = 0) AS n0, (SELECT count(*) FROM tw WHERE g = 1) AS n1 FROM d", "contacts"),
     "k01_adjusted": _S(_TWO + ", p AS (SELECT cell_id, f / 10 + cell_id / 10000 AS p FROM tw), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p) SELECT cell_id, p, least(min(p * n / k) OVER (ORDER BY p DESC, k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM r", "contacts"),
     "k02_rank_sum": _S(_TWO + f", r AS (SELECT g, {_RK.format('n')} AS r, count(*) OVER (PARTITION BY n) AS t FROM tw), a AS (SELECT count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, sum(r) FILTER (g = 1) AS ranks, sum(t * t - 1) AS ties FROM r), w AS (SELECT *, ranks - n1 * (n1 + 1) / 2 AS w FROM a) SELECT n0, n1, w, (w - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM w", "contacts"),
     "k03_linear_fit": _S(_TWO + " SELECT regr_slope(f, n) AS slope, regr_intercept(f, n) AS intercept, regr_r2(f, n) AS r2 FROM tw", "contacts"),
-    "k04_correlations": _S(_FINE + " SELECT a.cell_id AS i, b.cell_id AS j, corr(a.n, b.n) AS r, count(*) AS n FROM fine a JOIN fine b USING (bin) WHERE a.cell_id < b.cell_id AND b.cell_id < 12 GROUP BY ALL", "contacts"),
+    "k04_correlations": _S(_FINE + " SELECT a.cell_id AS i, b.cell_id AS j, corr(a.n, b.n) AS r, count(*) AS n FROM fine a JOIN fine b USING (bin) WHERE a.cell_id < b.cell_id GROUP BY ALL", "contacts"),
     "k05_spearman": _S(_TWO + f", r AS (SELECT {_RK.format('n')} AS a, {_RK.format('f')} AS b FROM tw) SELECT corr(a, b) AS rho FROM r", "contacts"),
     "k06_z_scores": _S(_TWO + " SELECT cell_id, n, f, (n - (SELECT avg(n) FROM tw)) / (SELECT stddev_samp(n) FROM tw) + (f - (SELECT avg(f) FROM tw)) / (SELECT stddev_samp(f) FROM tw) AS z FROM tw", "contacts"),
     "k11_ecdf": _S(_TWO + " SELECT cell_id, cume_dist() OVER (PARTITION BY g ORDER BY n) AS ecdf FROM tw", "contacts"),
