@@ -140,6 +140,27 @@ def composition(mols: DataFrame, frags: DataFrame, cutoff: int) -> DataFrame:
     return kinds.groupBy("n_trans", "n_close", "n_far").agg(F.count("*").alias("count"))
 
 
+def multiplicity(chain: DataFrame, frags: DataFrame) -> DataFrame:
+    """Chains seen once or more often (multi), within or between chromosomes (trans): n of each kind. Segments on no known fragment do not make a chain trans."""
+    seen = chain.groupBy(chain_key(F.col("segments")).alias("key")).agg(F.count("*").alias("reads"), F.first("segments").alias("segments"))
+    at = frags.select("fid", "chrom")
+    kinds = seen.select("key", "reads", F.explode("segments.fid").alias("fid")).join(at, "fid", "left").groupBy("key", "reads").agg((F.min("chrom") < F.max("chrom")).alias("trans"))
+    return kinds.groupBy((F.col("reads") > 1).alias("multi"), F.coalesce("trans", F.lit(False)).alias("trans")).agg(F.count("*").alias("n"))
+
+
+def ligation_class(near: int = 1) -> F.Column:
+    """trans, no_site (ends at most ``near`` numbers apart) or the decade of the distance. fend1, fend2, chrom1, start1, chrom2, start2."""
+    d = F.abs(F.col("start2") - F.col("start1"))
+    decade = F.concat(F.lit("cis_"), (F.length(d.cast("string")) - 1).cast("string"))  # digits, so that no logarithm rounds
+    return F.when(F.col("chrom1") != F.col("chrom2"), "trans").when(F.abs(F.col("fend1") - F.col("fend2")) <= near, "no_site").otherwise(decade)
+
+
+def baited(chain: DataFrame, keys: DataFrame, baits: DataFrame) -> DataFrame:
+    """Chains with the bait of their read in front: keys (read_id, key), baits (key, fid); reads without either go."""
+    bait = keys.join(baits, "key").select("read_id", F.array(F.struct("fid", F.lit("+").alias("strand"), F.lit(None).cast("int").alias("qual"))).alias("_bait"))
+    return chain.join(bait, "read_id").withColumn("segments", F.concat("_bait", "segments")).drop("_bait")
+
+
 def spaced_offsets(rows: DataFrame, pad: int) -> DataFrame:
     """Of the reads of a pair (fend1, fend2, off1, off2) those that lie over ``pad`` from all kept before, in order of offsets."""
 

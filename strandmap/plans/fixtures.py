@@ -33,8 +33,12 @@ SELECT c_custkey AS site_id, c_custkey % 19 + 1 AS chrom, (c_custkey * c_custkey
 FROM {customer}"""
 _CELLS = """
 SELECT c_custkey AS cell_id, c_mktsegment AS cond, c_nationkey AS batch_id, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS valid FROM {customer} WHERE c_custkey < 64"""
+_HITS = """
+SELECT l_orderkey AS read_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS i, l_partkey % 40 + 1 AS fid,
+       l_suppkey AS pos, l_suppkey + CAST(l_quantity AS BIGINT) AS end_, CASE WHEN (l_linenumber + l_suppkey) % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(l_quantity AS INT) AS qual
+FROM {lineitem}"""
 
-_VIEWS = {"contacts": (_CONTACTS, "lineitem"), "tor": (_TOR, "orders"), "seqs": (_SEQS, "documents"), "frags": (_FRAGS, "part"), "sites": (_SITES, "customer"), "cells": (_CELLS, "customer")}
+_VIEWS = {"contacts": (_CONTACTS, "lineitem"), "tor": (_TOR, "orders"), "seqs": (_SEQS, "documents"), "frags": (_FRAGS, "part"), "sites": (_SITES, "customer"), "cells": (_CELLS, "customer"), "hits": (_HITS, "lineitem")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
