@@ -154,3 +154,50 @@ def natural_key(text: Column) -> Column:
     """A key that sorts text with its runs of digits as numbers (of up to 30 digits)."""
     parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.ltrim(x, F.lit("0")), 30, "0")).otherwise(x)), "")
+
+
+def shuffled(contacts: DataFrame, seed: str, digits: int = 3) -> DataFrame:
+    """Contacts with their second sides permuted over all rows: the n-th first side in one order of digests meets the n-th second side in another.
+
+    A row's number is its place in the bucket that its digest's first ``digits`` name, after the sizes of the buckets
+    before; there are 16^digits buckets, so three digits suit some 10^10 rows. Equal rows are interchangeable. Both sides must be known.
+    """
+    rows = contacts.where("chrom1 is not null and start1 is not null and chrom2 is not null and start2 is not null")
+    name = F.concat_ws(":", *(F.col(c).cast("string") for c in ("chrom1", "start1", "chrom2", "start2")))
+
+    def numbered(letter: str, side: int) -> DataFrame:
+        placed = rows.select(f"chrom{side}", f"start{side}", F.md5(F.concat(F.lit(f"{seed}{letter}:"), name)).alias("_h")).withColumn("_bucket", F.substring("_h", 1, digits))
+        before = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16^digits rows at most
+        sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", f"chrom{side}", f"start{side}"))
+        return placed.withColumn("_k", within).join(F.broadcast(sizes), "_bucket").select(f"chrom{side}", f"start{side}", (F.col("_before") + F.col("_k")).alias("_at"))
+
+    return numbered("a", 1).join(numbered("b", 2), "_at").select("chrom1", "start1", "chrom2", "start2")
+
+
+def pair_enrichments(pairs: DataFrame, chrom_len: int) -> DataFrame:
+    """Contacts n of two chromosomes (cell_id, a, b, n) as share of the cell's, log2 of it over the pair's mean share (null for none), and density a square megabase."""
+    rows = pairs.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("cell_id"))))
+    usual = rows.groupBy("a", "b").agg(F.avg("share").alias("_mean"))
+    enrichment = F.when(F.col("n") > 0, F.log2(F.col("share") / F.col("_mean")))
+    side = chrom_len / 1_000_000
+    return rows.join(F.broadcast(usual), ["a", "b"]).select("cell_id", "a", "b", "n", "share", enrichment.alias("enrichment"), (F.col("n") / (side * side)).alias("density"))  # a row a pair of chromosomes
+
+
+def piled_up(reads: DataFrame, size: int) -> DataFrame:
+    """Reads (chrom, start, end_) over every bin of ``size`` that they touch; empty ones touch none."""
+    cells = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end_") - 1) / size))
+    touched = reads.where("start < end_").select("chrom", F.explode(cells).alias("cell"))
+    return touched.groupBy("chrom", (F.col("cell") * size).alias("start")).agg(F.count("*").alias("n"))
+
+
+def chromosome_phasing(contacts: DataFrame, near: tuple[int, int] = (25_000, 2_000_000), far: int = 4_500_000) -> DataFrame:
+    """For every cell and chromosome its contacts, the share of near ones and the mean distance of far ones (null without any)."""
+    rows = contacts.where("chrom1 = chrom2 and start2 > start1").select("cell_id", F.col("chrom1").alias("chrom"), (F.col("start2") - F.col("start1")).alias("d"))
+    d = F.col("d")
+    distant = F.when(d >= far, d)
+    return rows.groupBy("cell_id", "chrom").agg(
+        F.count("*").alias("n"),
+        (F.count_if((d >= near[0]) & (d < near[1])) / F.count("*")).alias("near"),
+        F.try_divide(F.sum(distant).cast("double"), F.count(distant)).alias("far_mean"),
+    )

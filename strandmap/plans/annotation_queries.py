@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandmap.functions import sequence as S
 from strandmap.operators import annotation as A
 from strandmap.operators import chains as CH
+from strandmap.operators import contacts as C
 from strandmap.operators import digest as G
 from strandmap.operators import intervals as I
 from strandmap.plans.fixtures import CHROM_LEN, duckdb_sql, view
@@ -39,6 +40,11 @@ def _absolute(tor):
     return tor.select("chrom", "start", F.abs("v").alias("v"))
 
 
+def _millionths(tor):
+    """Whole numbers, whose sums no engine rounds."""
+    return tor.select("chrom", "start", F.round(F.col("v") * 1_000_000).alias("v"))
+
+
 def _chains(hits):
     return CH.fendchains(hits.withColumnRenamed("end_", "end"))
 
@@ -85,7 +91,7 @@ def _two_reads(seqs):
 
 QUERIES = {
     "f58_ctcf_contacts": _over(lambda c, s: A.contact_classes(c, _typed(s), 50_000).groupBy("type1", "type2", "type").agg(F.count("*").alias("n")), "contacts", "sites"),
-    "f78_values_around": _over(lambda s, t: A.window_values(s, t, "site_id", 100_000, -150_000, 150_000), "sites", "tor"),
+    "f78_values_around": _over(lambda s, t: A.window_values(s, _millionths(t), "site_id", 100_000, -150_000, 150_000), "sites", "tor"),
     "f79_rectangles": _over(lambda c, s: A.rectangle_values(_rects(s), c, "site_id", 500_000), "contacts", "sites"),
     "f76_rectangles_in_band": _over(lambda c, s: A.rectangle_values(_rects(s), c, "site_id", 500_000, (20_000, 400_000)), "contacts", "sites"),
     "g21_start_classes": _over(lambda s, t: A.start_classes(_marked(s, t), "site_id", 0.5, 300_000, CHROM_LEN).select("site_id", "type", "selected"), "sites", "tor"),
@@ -111,6 +117,10 @@ QUERIES = {
     "d02_direct_counters": _over(lambda c: CH.direct_pairs(_mates(c))[1], "contacts"),
     "d03_direct_adjacency": _over(lambda c: CH.direct_pairs(_mates(c))[0], "contacts"),
     "f06_ligation_classes": _over(lambda c: c.withColumns({"fend1": F.floor(F.col("start1") / 1000), "fend2": F.floor(F.col("start2") / 1000)}).groupBy(CH.ligation_class().alias("kind")).agg(F.count("*").alias("n")), "contacts"),
+    "g08_shuffled_contacts": _over(lambda c: A.shuffled(c, "s1"), "contacts"),
+    "k16_pair_enrichments": _over(lambda c: A.pair_enrichments(C.chromosome_pairs(c), CHROM_LEN), "contacts"),
+    "b07_piled_reads": _over(lambda h: A.piled_up(h.select((F.col("fid") % 19 + 1).alias("chrom"), (F.col("pos") * 50).alias("start"), (F.col("end_") * 50).alias("end_")), 200), "hits"),
+    "f66_chromosome_phasing": _over(lambda c: A.chromosome_phasing(c), "contacts"),
 }
 
 _S = duckdb_sql
@@ -122,7 +132,7 @@ _SIDES = (
     ", c AS (SELECT coalesce(a.t, 'N') AS type1, coalesce(b.t, 'N') AS type2 FROM contacts LEFT JOIN ty a ON a.chrom = chrom1 AND a.start = start1 LEFT JOIN ty b ON b.chrom = chrom2 AND b.start = start2)"
 )
 _RECT = (
-    " SELECT r.site_id, count(start1) AS area, coalesce(sum(cnt), 0) AS weighted, max(cnt) AS most FROM (SELECT * FROM sites WHERE type = 'F') r LEFT JOIN contacts"
+    " SELECT r.site_id, count(start1) AS area, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS weighted, max(cnt) AS most FROM (SELECT * FROM sites WHERE type = 'F') r LEFT JOIN contacts"
     " ON chrom1 = r.chrom AND chrom2 = r.chrom AND start1 >= r.start - 500000 AND start1 < r.start AND start2 >= r.start AND start2 < r.start + 500000{band} GROUP BY ALL"
 )
 _ISLANDS = (
@@ -142,7 +152,7 @@ _PAIRS = (
     ", e AS (SELECT reads, step, CAST(split_part(a, ':', 1) AS BIGINT) * 2 + (split_part(a, ':', 2) = '+')::INT AS u, CAST(split_part(b, ':', 1) AS BIGINT) * 2 + (split_part(b, ':', 2) = '-')::INT AS v FROM z)"
     ", q AS (SELECT least(u, v) AS fend1, greatest(u, v) AS fend2, reads, step FROM e)"
 )
-_SUMS = " SELECT fend1, fend2, count(*) FILTER (step = 1) AS direct, count(*) FILTER (step = 2) AS indirect, count(*) AS mol, sum(reads) AS reads, max(reads) AS max_reads FROM {0} GROUP BY fend1, fend2"
+_SUMS = " SELECT fend1, fend2, count(*) FILTER (step = 1) AS direct, count(*) FILTER (step = 2) AS indirect, count(*) AS mol, CAST(sum(reads) AS BIGINT) AS reads, max(reads) AS max_reads FROM {0} GROUP BY fend1, fend2"
 _FENDS = ", fe AS (SELECT fid * 2 AS fend, chrom, start AS coord FROM frags UNION ALL SELECT fid * 2 + 1, chrom, end_ - 1 FROM frags)"
 _MATES = (
     ", r AS (SELECT start1 % 50 - 1 AS fid1, start1 % 2 AS side1, (start1 // 50) % 10 AS off1, start2 % 50 - 1 AS fid2, start2 % 2 AS side2, (start2 // 50) % 10 AS off2, cnt + 36 AS q1, cell_id % 4 + 37 AS q2 FROM contacts)"
@@ -157,7 +167,7 @@ SQL = {
     ),
     "f78_values_around": _S(
         " SELECT site_id, count(v) AS n, avg(v) AS mean, min(v) AS least, max(v) AS most, sum(v) AS total, sum(v * (least(s.end_ + 150000, t.start + 100000) - greatest(s.start - 150000, 0, t.start))) AS weighted"
-        " FROM sites s LEFT JOIN tor t ON s.chrom = t.chrom AND t.start < s.end_ + 150000 AND t.start + 100000 > s.start - 150000 GROUP BY site_id",
+        " FROM sites s LEFT JOIN (SELECT chrom, start, round(v * 1000000) AS v FROM tor) t ON s.chrom = t.chrom AND t.start < s.end_ + 150000 AND t.start + 100000 > s.start - 150000 GROUP BY site_id",
         "sites", "tor",
     ),
     "f79_rectangles": _S(_RECT.format(band=""), "contacts", "sites"),
@@ -234,4 +244,25 @@ SQL = {
         " SELECT CASE WHEN chrom1 <> chrom2 THEN 'trans' WHEN abs(start1 // 1000 - start2 // 1000) <= 1 THEN 'no_site' ELSE 'cis_' || (length(CAST(abs(start2 - start1) AS VARCHAR)) - 1) END AS kind, count(*) AS n FROM contacts GROUP BY ALL",
         "contacts",
     ),
+    "g08_shuffled_contacts": _S(
+        ", h AS (SELECT *, chrom1 || ':' || start1 || ':' || chrom2 || ':' || start2 AS k FROM contacts), o AS (SELECT *, md5('s1a:' || k) AS ha, md5('s1b:' || k) AS hb FROM h)"
+        ", a AS (SELECT chrom1, start1, row_number() OVER (ORDER BY ha) AS pos FROM o), b AS (SELECT chrom2, start2, row_number() OVER (ORDER BY hb) AS pos FROM o) SELECT chrom1, start1, chrom2, start2 FROM a JOIN b USING (pos)",
+        "contacts",
+    ),
+    "k16_pair_enrichments": _S(
+        ", n AS (SELECT cell_id, least(chrom1, chrom2) AS a, greatest(chrom1, chrom2) AS b, count(*) AS n FROM contacts WHERE chrom1 <> chrom2 GROUP BY ALL)"
+        ", g AS (SELECT cell_id, a, b, coalesce(n, 0) AS n FROM (SELECT DISTINCT cell_id FROM n) CROSS JOIN (SELECT DISTINCT a, b FROM n) LEFT JOIN n USING (cell_id, a, b))"
+        ", s AS (SELECT *, n / sum(n) OVER (PARTITION BY cell_id) AS share FROM g)"
+        " SELECT cell_id, a, b, n, share, CASE WHEN n > 0 THEN log2(share / avg(share) OVER (PARTITION BY a, b)) END AS enrichment, n / (200.0 * 200.0) AS density FROM s",
+        "contacts",
+    ),
+    "b07_piled_reads": _S(
+        ", r AS (SELECT fid % 19 + 1 AS chrom, pos * 50 AS lo, end_ * 50 AS hi FROM hits), b AS (SELECT chrom, unnest(range(lo // 200, (hi - 1) // 200 + 1)) * 200 AS start FROM r WHERE lo < hi) SELECT chrom, start, count(*) AS n FROM b GROUP BY ALL",
+        "hits",
+    ),
+    "f66_chromosome_phasing": _S(
+        ", d AS (SELECT cell_id, chrom1 AS chrom, start2 - start1 AS d FROM contacts WHERE chrom1 = chrom2 AND start2 > start1)"
+        " SELECT cell_id, chrom, count(*) AS n, count(*) FILTER (d >= 25000 AND d < 2000000) / count(*) AS near, CAST(sum(d) FILTER (d >= 4500000) AS DOUBLE) / count(*) FILTER (d >= 4500000) AS far_mean FROM d GROUP BY ALL",
+        "contacts",
+    ),
 }

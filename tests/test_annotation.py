@@ -43,3 +43,19 @@ def test_places_without_bins_keep_their_row(spark):
 def test_natural_order(spark):
     names = spark.createDataFrame([("b10",), ("b2",), ("a",), ("b002x",)], "n string")
     assert [r["n"] for r in names.orderBy(A.natural_key(names["n"]), "n").collect()] == ["a", "b2", "b002x", "b10"]
+
+
+def test_shuffling_keeps_both_sides(spark):
+    rows = [(1, i % 7, 2, 100 + i) for i in range(50)]
+    contacts = spark.createDataFrame([*rows, *rows[:5]], "chrom1 long, start1 long, chrom2 long, start2 long")
+    got = [tuple(r) for r in A.shuffled(contacts, "x", 1).collect()]
+    assert sorted(r[:2] for r in got) == sorted(r[:2] for r in [*rows, *rows[:5]])
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in [*rows, *rows[:5]])
+    assert sorted(got) != sorted([*rows, *rows[:5]])
+
+
+def test_baits_and_kinds_of_contacts(spark):
+    kinds = spark.createDataFrame([(["F", "R"], "F"), (["C"], "N"), (["R", "C"], "F"), ([], "N")], "k array<string>, b string")
+    typed = kinds.withColumn("a", A.side_type(kinds["k"]))
+    got = [tuple(r) for r in typed.select("a", A.contact_type(typed["a"], typed["b"])).collect()]
+    assert got == [("B", "conv"), ("C", "chip"), ("R", "conv"), ("N", "none")]
