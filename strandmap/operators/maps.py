@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import distance as D
@@ -15,24 +15,29 @@ def _around(contacts: DataFrame, scale: int, res: int, low: int) -> DataFrame:
     return cis.where(first <= last).withColumn("_k", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).withColumn("at", F.col("_k") * res).drop("_k")
 
 
-def insulation(contacts: DataFrame, scale: int, res: int, min_diag: int = 1000) -> DataFrame:
-    """For every multiple of ``res``: contacts with both ends within +-scale (big), those that cross it (ins), log2(ins / (big + 10))."""
+def insulation(contacts: DataFrame, scale: int, res: int, min_diag: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """For every multiple of ``res`` (and value of the columns ``by``): contacts with both ends within +-scale (big), those that cross it (ins), log2(ins / (big + 10))."""
     rows = _around(contacts, scale, res, min_diag)
     inside = (F.col("start1") >= F.col("at") - scale) & (F.col("start2") < F.col("at") + scale)
     cross = inside & (F.col("start1") < F.col("at")) & (F.col("start2") >= F.col("at"))
-    out = rows.groupBy(F.col("chrom1").alias("chrom"), F.col("at").alias("start")).agg(F.sum(F.when(inside, F.col("cnt")).otherwise(0)).alias("big"), F.sum(F.when(cross, F.col("cnt")).otherwise(0)).alias("ins"))
+    out = rows.groupBy(*by, F.col("chrom1").alias("chrom"), F.col("at").alias("start")).agg(F.sum(F.when(inside, F.col("cnt")).otherwise(0)).alias("big"), F.sum(F.when(cross, F.col("cnt")).otherwise(0)).alias("ins"))
     return out.where("big > 0").withColumn("insulation", F.when(F.col("ins") > 0, F.log2(F.col("ins") / (F.col("big") + 10))))
 
 
-def triangles(contacts: DataFrame, loci: DataFrame, scale: int, discard_below: int) -> DataFrame:
-    """For every cell and locus (chrom, at): contacts that cross it (a), and those within ``scale`` before (b1) and after it (b2)."""
+def triangle_rows(contacts: DataFrame, loci: DataFrame, scale: int, discard_below: int) -> DataFrame:
+    """Contacts (cell_id, start1, start2) at each locus (chrom, at) with their kind: across it (a), or within ``scale`` before (b1) or after it (b2)."""
     cis = contacts.where(D.is_cis() & (F.col("start2") - F.col("start1") >= discard_below) & (F.col("start2") - F.col("start1") < 2 * scale))
     cut = cis.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("start1") - scale) / scale), F.floor((F.col("start2") + scale) / scale))))
     rows = cut.join(loci.withColumn("_at_cell", F.floor(F.col("at") / scale)), (F.col("chrom1") == F.col("chrom")) & (F.col("_cell") == F.col("_at_cell")))
     lo, hi, at = F.col("start1") >= F.col("at") - scale, F.col("start2") < F.col("at") + scale, F.col("at")
-    kinds = {"a": lo & hi & (F.col("start1") < at) & (F.col("start2") >= at), "b1": lo & (F.col("start2") < at), "b2": hi & (F.col("start1") >= at)}
-    out = rows.groupBy("cell_id", "chrom", "at").agg(*(F.count_if(v).alias(k) for k, v in kinds.items()))
-    return out.where("a + b1 + b2 > 0")
+    kind = F.when(lo & hi & (F.col("start1") < at) & (F.col("start2") >= at), "a").when(lo & (F.col("start2") < at), "b1").when(hi & (F.col("start1") >= at), "b2")
+    return rows.select("cell_id", "chrom", "at", "start1", "start2", kind.alias("kind")).where("kind is not null")
+
+
+def triangles(contacts: DataFrame, loci: DataFrame, scale: int, discard_below: int) -> DataFrame:
+    """For every cell and locus (chrom, at): contacts that cross it (a), and those within ``scale`` before (b1) and after it (b2)."""
+    rows = triangle_rows(contacts, loci, scale, discard_below)
+    return rows.groupBy("cell_id", "chrom", "at").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("a", "b1", "b2")))
 
 
 def direction(contacts: DataFrame, scale: int, res: int, min_diag: int = 1000) -> DataFrame:
@@ -102,9 +107,9 @@ def focal_enrichment(near: DataFrame, inner: int, outer: int, by: list[str], flo
     return out.withColumn("enr", F.when(F.col("n1") > 0, F.greatest(F.log2(F.col("n1") / F.col("n2") / (inner / outer) ** 2), F.lit(floor))).otherwise(F.lit(floor)))
 
 
-def pile_up(near: DataFrame, reach: int, bins: int) -> DataFrame:
-    """Contacts around all loops in bins x bins cells, and log2 over their mean."""
+def pile_up(near: DataFrame, reach: int, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Contacts around all loops in bins x bins cells, and log2 over their mean; for each value of the columns ``by``."""
     cell = lambda c: F.least(F.floor((F.col(c) + reach) * bins / (2 * reach + 1)), F.lit(bins - 1)).cast("int")
-    out = near.groupBy(cell("dx").alias("x"), cell("dy").alias("y")).agg(F.count("*").alias("n"))
-    mean = out.agg((F.sum("n") / (bins * bins)).alias("mean"))
-    return out.crossJoin(F.broadcast(mean)).select("x", "y", "n", F.log2(F.col("n") / F.col("mean")).alias("enr"))  # one row
+    out = near.groupBy(*by, cell("dx").alias("x"), cell("dy").alias("y")).agg(F.count("*").alias("n"))
+    mean = F.sum("n").over(Window.partitionBy(*by)) / (bins * bins)  # bins x bins rows
+    return out.select(*by, "x", "y", "n", F.log2(F.col("n") / mean).alias("enr"))
