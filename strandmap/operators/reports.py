@@ -251,3 +251,45 @@ def spliced(reads: DataFrame, parts: list[str], keep: list[int], seq: str = "seq
         starts.append(starts[-1] + F.length(f))
     good = F.col(seq).rlike(pattern) & (F.length(seq) == F.length(qual))
     return reads.where(good).withColumns({seq: F.concat(*(found[k] for k in keep)), qual: F.concat(*(F.substring(F.col(qual), starts[k], F.length(found[k])) for k in keep))})
+
+
+def smoothed_ratio(contacts: DataFrame, size: int, windows: list[int], least: int) -> DataFrame:
+    """log2 of observed over expected contacts around every cell of each chromosome's map, in bins of ``size``: chrom, i, j, window, n, ratio.
+
+    A cell takes the smallest of ``windows`` (cells to each side, ascending) that holds ``least`` contacts, else the widest
+    if that holds 0.6 of them; others, and cells without contacts in reach, have no row. Maps are symmetric; what is expected
+    is the product of the margins, summed over the window. A contact reaches (2w + 1)^2 cells of the widest window w.
+    """
+    at = [F.floor(F.col(f"start{i}") / size) for i in (1, 2)]
+    cis = contacts.where(D.is_cis()).select(F.col("chrom1").alias("chrom"), at[0].alias("i"), at[1].alias("j"))
+    cells = cis.unionByName(cis.select("chrom", F.col("j").alias("i"), F.col("i").alias("j"))).groupBy("chrom", "i", "j").agg(F.count("*").alias("_n"))
+    w = windows[-1]
+    step = lambda: F.explode(F.sequence(F.lit(-w), F.lit(w)))
+    held = lambda off, k: F.sum(F.when(off <= k, F.col("_n")).otherwise(0))
+    spread = cells.withColumn("_a", step()).withColumn("_b", step()).select("chrom", (F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), F.greatest(F.abs("_a"), F.abs("_b")).alias("_off"), "_n")
+    sums = spread.groupBy("chrom", "i", "j").agg(F.array(*(held(F.col("_off"), k) for k in windows)).alias("_obs"))
+    margin = cells.groupBy("chrom", "i").agg(F.sum("_n").alias("_n"))
+    total = margin.groupBy("chrom").agg(F.sum("_n").alias("_total"))
+    wide = margin.withColumn("_a", step()).select("chrom", (F.col("i") + F.col("_a")).alias("i"), F.abs("_a").alias("_off"), "_n").groupBy("chrom", "i").agg(F.array(*(held(F.col("_off"), k) for k in windows)).alias("_m"))
+    rows = sums.join(wide.withColumnRenamed("_m", "_mi"), ["chrom", "i"]).join(wide.select("chrom", F.col("i").alias("j"), F.col("_m").alias("_mj")), ["chrom", "j"]).join(total, "chrom")
+    last = len(windows) - 1
+    chosen = F.coalesce(*(F.when(F.get("_obs", F.lit(k)) >= least, k) for k in range(last + 1)), F.when(F.get("_obs", F.lit(last)) >= 0.6 * least, last))
+    rows = rows.withColumn("_k", chosen).where("_k is not null").withColumns({"n": F.get("_obs", F.col("_k")), "window": F.get(F.array(*map(F.lit, windows)), F.col("_k"))})
+    expected = F.get("_mi", F.col("_k")) * F.get("_mj", F.col("_k")) / F.col("_total")
+    return rows.where("n > 0").select("chrom", "i", "j", "window", "n", F.log2(F.col("n") / expected).alias("ratio"))
+
+
+def even_cells(contacts: DataFrame, most: float) -> DataFrame:
+    """Contacts of the cells no chromosome of which is over- or underrepresented by more than ``most`` (log2, see ``karyotype``)."""
+    kept = karyotype(contacts).groupBy("cell_id").agg(F.max(F.abs("enr")).alias("_most")).where(F.col("_most") <= most).select("cell_id")
+    return contacts.join(kept, "cell_id", "left_semi")
+
+
+def cell_stats(contacts: DataFrame, cells: DataFrame, bands: dict[str, tuple[int, int]], mitotic: str, least: float, near: tuple[int, int] = (1000, 2_000_000), far: int = 4_000_000) -> DataFrame:
+    """One wide row a cell with contacts: the quality series, expected duplicates, shares of the bands, largest chromosome enrichment, and the cell's group (null if unknown)."""
+    even = karyotype(contacts).groupBy("cell_id").agg(F.max(F.abs("enr")).alias("max_enr"))
+    expected = duplicate_report(contacts).select("cell_id", "expected")
+    out = quality_series(contacts, near, far)
+    for table in (expected, band_fractions(contacts, bands, mitotic, least), even, cells.select("cell_id", F.col("cond").alias("grp"))):
+        out = out.join(table, "cell_id", "left")
+    return out

@@ -158,6 +158,9 @@ QUERIES = {
     "e10_permitted_squares": _over(_permitted, "contacts", "sites"),
     "j02_unmapped_reads": _over(lambda h: h.select("read_id").distinct().join(h.where("qual >= 30").select("read_id"), "read_id", "left_anti"), "hits"),
     "j03_shared_bins": _over(_in_all, "contacts"),
+    "f47_smoothed_map": _over(lambda c: R.smoothed_ratio(c, 5_000_000, [0, 1, 2], 10), "contacts"),
+    "d15_even_cells": _over(lambda c: R.even_cells(c, 1.0).groupBy("cell_id").agg(F.count("*").alias("n")), "contacts"),
+    "p40_cell_stats": _over(lambda c, m: R.cell_stats(c, m, BANDS, "mid", 0.19), "contacts", "cells"),
     "n10_expressions": _over(lambda s, t: A.window_values(s, t, "site_id", 100_000, -150_000, 150_000).select("site_id", F.expr("if(mean is not null and mean > 0, most, 0.0)").alias("value"), F.expr("n > 2 and least < 0").alias("mixed")), "sites", "tor"),
 }
 
@@ -175,7 +178,7 @@ _ISLANDS = (
     ", w AS (SELECT *, max(hi) OVER (PARTITION BY chrom ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {rows})"
     ", g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM w)"
 )
-_ORD = ", t AS (SELECT cell_id, count(*) AS n, count(*) FILTER (chrom1 <> chrom2) AS trans FROM contacts GROUP BY ALL), o AS (SELECT *, CAST(row_number() OVER (ORDER BY n, cell_id) AS INTEGER) AS ord FROM t), sl AS (SELECT cell_id, (ord - 1) // 10 AS grp FROM o)"
+_ORD = ", t AS (SELECT cell_id, count(*) AS n, count(*) FILTER (chrom1 <> chrom2) AS trans FROM contacts GROUP BY ALL), o AS (SELECT *, CAST(row_number() OVER (ORDER BY n, cell_id) AS INTEGER) AS ord FROM t), sl AS (SELECT cell_id, CAST((ord - 1) // 10 AS BIGINT) AS grp FROM o)"
 _KIND = (
     ", tr AS (SELECT cell_id, f.chrom, f.start AS loc, start1, start2, CASE WHEN start1 >= f.start - {s} AND start2 < f.start + {s} AND start1 < f.start AND start2 >= f.start THEN 'a'"
     " WHEN start1 >= f.start - {s} AND start2 < f.start THEN 'b1' WHEN start2 < f.start + {s} AND start1 >= f.start THEN 'b2' END AS kind FROM contacts JOIN frags f ON chrom1 = f.chrom AND chrom2 = f.chrom"
@@ -220,8 +223,30 @@ _MB = ", mb AS (SELECT chrom, start // 1000000 AS mb, min(type) AS type FROM sit
 _D = ", dd AS (SELECT *, CASE WHEN chrom1 = chrom2 THEN start2 - start1 END AS d FROM contacts)"
 _BANDS = ", ".join(f"count(*) FILTER (d >= {lo} AND d < {hi}) / count(*) AS {k}" for k, (lo, hi) in BANDS.items())
 _LOGS = ", ".join(f"CASE WHEN {k} > 0 THEN log2({k}) END AS log_{k}" for k in BANDS)
+_QC = (
+    ", a AS (SELECT cell_id, count(*) AS n, sum(cnt)::BIGINT AS reads, count(*) FILTER (d IS NULL) / count(*) AS f_trans, count(*) FILTER (d < 1000) / count(*) AS f_nodig, count(*) FILTER (d >= 4000000) AS x,"
+    " count(*) FILTER (d >= 1000 AND d < 2000000) AS y, 1 - count(*) / sum(cnt) AS f_dup FROM dd GROUP BY ALL), qc AS (SELECT cell_id, n, reads, f_trans, f_nodig, CASE WHEN x > 0 AND y > 0 THEN log2(x / y) END AS far_close, f_dup FROM a)"
+)
+_EVEN = _KARYO + ", kn AS (SELECT *, log2(share / avg(share) OVER (PARTITION BY chrom)) AS enr FROM ks), ev AS (SELECT cell_id, max(abs(enr)) AS max_enr FROM kn GROUP BY cell_id)"
 
 SQL = {
+    "f47_smoothed_map": _S(
+        ", s AS (SELECT chrom1 AS chrom, start1 // 5000000 AS i, start2 // 5000000 AS j FROM contacts WHERE chrom1 = chrom2), c AS (SELECT chrom, i, j, count(*) AS n FROM (SELECT * FROM s UNION ALL SELECT chrom, j, i FROM s) GROUP BY ALL)"
+        ", m AS (SELECT chrom, i, sum(n) AS n FROM c GROUP BY ALL), o AS (SELECT unnest(range(-2, 3)) AS a), t AS (SELECT chrom, sum(n) AS total FROM m GROUP BY chrom)"
+        ", p AS (SELECT chrom, i + o.a AS i, j + b.a AS j, greatest(abs(o.a), abs(b.a)) AS off, n FROM c, o, o b), w AS (SELECT unnest([0, 1, 2]) AS k)"
+        ", ob AS (SELECT chrom, i, j, k, coalesce(sum(n) FILTER (off <= k), 0) AS n FROM p, w GROUP BY ALL), mw AS (SELECT chrom, i + a AS i, k, coalesce(sum(n) FILTER (abs(a) <= k), 0) AS n FROM m, o, w GROUP BY ALL)"
+        ", pick AS (SELECT *, row_number() OVER (PARTITION BY chrom, i, j ORDER BY k) AS r FROM ob WHERE n >= 10 OR (k = 2 AND n >= 6))"
+        " SELECT x.chrom, x.i, x.j, CAST(x.k AS INTEGER) AS window, CAST(x.n AS BIGINT) AS n, log2(x.n / (a.n * b.n / total)) AS ratio FROM pick x JOIN mw a ON a.chrom = x.chrom AND a.i = x.i AND a.k = x.k JOIN mw b ON b.chrom = x.chrom AND b.i = x.j AND b.k = x.k"
+        " JOIN t ON t.chrom = x.chrom WHERE r = 1",
+        "contacts",
+    ),
+    "d15_even_cells": _S(_EVEN + " SELECT cell_id, count(*) AS n FROM contacts JOIN ev USING (cell_id) WHERE max_enr <= 1.0 GROUP BY ALL", "contacts"),
+    "p40_cell_stats": _S(
+        _GR + _D + _QC + _EVEN + f", ci AS (SELECT cell_id, d FROM dd WHERE d IS NOT NULL), b AS (SELECT cell_id, {_BANDS} FROM ci GROUP BY ALL), bl AS (SELECT *, {_LOGS}, mid >= 0.19 AS mitotic_like FROM b)"
+        ", p AS (SELECT cell_id, pow((n - 1) / n, reads) AS none, (reads / n) * pow((n - 1) / n, reads - 1) AS once FROM qc), ex AS (SELECT cell_id, CASE WHEN 1 - none <> 0 THEN (1 - none - once) / (1 - none) END AS expected FROM p)"
+        " SELECT * FROM qc LEFT JOIN ex USING (cell_id) LEFT JOIN bl USING (cell_id) LEFT JOIN ev USING (cell_id) LEFT JOIN gr USING (cell_id)",
+        "contacts", "cells",
+    ),
     "g11_group_borders": _S(
         _BY_GROUP + ", rn0 AS (SELECT *, start - 500000 * row_number() OVER (PARTITION BY chrom, grp ORDER BY start) AS r FROM ins WHERE insulation < -2.5)"
         ", rn AS (SELECT chrom, grp, (min(start) + max(start) + 500000) // 2 AS start FROM rn0 GROUP BY chrom, grp, r), pt AS (SELECT DISTINCT chrom, start, start + 1 AS end_ FROM rn)"
@@ -305,7 +330,7 @@ SQL = {
         "contacts",
     ),
     "l08_mean_profiles": _S(
-        _GR + _D + f", b AS (SELECT cell_id, CASE WHEN d IS NULL THEN -1 ELSE {_BIN} END AS bin, count(*) AS n FROM dd WHERE d IS NULL OR d > 0 GROUP BY ALL), f AS (SELECT * FROM b WHERE bin IS NOT NULL)"
+        _GR + _D + f", b AS (SELECT cell_id, CAST(CASE WHEN d IS NULL THEN -1 ELSE {_BIN} END AS INTEGER) AS bin, count(*) AS n FROM dd WHERE d IS NULL OR d > 0 GROUP BY ALL), f AS (SELECT * FROM b WHERE bin IS NOT NULL)"
         ", s AS (SELECT *, n / sum(n) OVER (PARTITION BY cell_id) AS share FROM f), j AS (SELECT * FROM s JOIN gr USING (cell_id)), z AS (SELECT grp, count(DISTINCT cell_id) AS cells FROM j GROUP BY grp)"
         " SELECT grp, bin, cells, sum(share) / cells AS share FROM j JOIN z USING (grp) GROUP BY grp, bin, cells",
         "contacts", "cells",

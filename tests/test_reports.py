@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from strandmap.operators import reports as R
-from strandmap.plans import report_queries
+from strandmap.plans import build, report_queries
+from strandmap.plans.fixtures import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,24 @@ def test_empty_tables_stay_empty(spark):
     none = spark.createDataFrame([], "cell_id long, chrom1 long, start1 long, chrom2 long, start2 long, cnt long")
     for f in (R.karyotype, R.duplicate_report, lambda c: R.quality_series(c, (1000, 2000), 4000), lambda c: R.density_2d(c, "start1", "start2", 10.0, 1.0, 1)):
         assert f(none).count() == 0
+
+
+def test_tables_are_built_once(spark, tmp_path):
+    contacts, tor, cells = (view(spark, SF, v) for v in ("contacts", "tor", "cells"))
+    plans = build.tables(contacts, tor, cells, report_queries.BANDS)
+    got = build.build_all(spark, {k: plans[k] for k in ("karyotype", "cell_stats")}, str(tmp_path))
+    assert got["cell_stats"].count() == contacts.select("cell_id").distinct().count()
+    refused = {"karyotype": lambda: pytest.fail("built again")}
+    assert build.build_all(spark, refused, str(tmp_path))["karyotype"].count() == got["karyotype"].count()
+    assert build.load(spark, str(tmp_path), "none") is None
+    assert set(plans) >= {"insulation", "fine_decay", "replication"}
+
+
+def test_alignments_become_contacts(spark, tmp_path):
+    row = "{}:R1SEG{}:{}:{}\t{}\tchr1\t{}\t40\t50M\t*\t0\t0\t" + "A" * 50 + "\t" + "I" * 50
+    rows = ["@HD", *(row.format(r, s, 50 * s, 50 * s + 50, 0, at) for r in ("a", "b") for s, at in ((0, 1100), (1, 5200)))]
+    (tmp_path / "x.sam").write_text("\n".join(rows) + "\n")
+    frags = spark.createDataFrame([(i, c, i * 1000, i * 1000 + 1000) for i in range(1, 8) for c in ("chr1",)], "fid long, chrom string, start long, end_ long")
+    got = build.contacts_from_sam(spark, str(tmp_path / "x.sam"), frags).collect()
+    assert [(r["fend1"] // 2, r["fend2"] // 2, r["mol"], r["reads"]) for r in got] == [(1, 5, 1, 2)]
+    assert got[0]["chrom1"] == got[0]["chrom2"] == "chr1"
