@@ -85,15 +85,13 @@ def hotspots(pairs: DataFrame, size: int, omit: int, least: float = 2.0, smooth:
     cells = pairs.groupBy(i.alias("i"), j.alias("j")).agg(
         F.count("*").alias("n"), F.count_if(F.abs("y") > omit * size).alias("_fy"), F.count_if(F.abs("x") > omit * size).alias("_fx")
     )
-    total = cells.agg(F.sum("n").alias("_n"), F.sum("_fy").alias("_ny"), F.sum("_fx").alias("_nx"))
-    of_x = cells.groupBy("i").agg(F.sum("_fy").alias("_mx")).where("_mx > 0")
-    of_y = cells.groupBy("j").agg(F.sum("_fx").alias("_my")).where("_my > 0")
-    kinds = of_x.agg(F.count("*").alias("_kx")).join(of_y.agg(F.count("*").alias("_ky")))
-    rows = cells.join(of_x, "i").join(of_y, "j").join(F.broadcast(total)).join(F.broadcast(kinds))  # one row each
-    rows = rows.withColumn("_e", F.col("_mx") / F.col("_ny") * F.col("_my") / F.col("_nx"))
-    kept = rows.where(F.col("_e") * F.col("_n") >= least)
-    mean = kept.agg(F.avg("n").alias("_mean"))
-    ratio = kept.join(F.broadcast(mean)).select("i", "j", "n", (F.log2(F.col("n") / F.col("_mean")) - F.log2(F.col("_e") * F.col("_kx") * F.col("_ky"))).alias("ratio"))
+    of = lambda c, *by: F.sum(c).over(Window.partitionBy(*by or (F.lit(1),)))  # noqa: E731  a row a cell of the grid, whose size the parameters fix
+    rows = cells.withColumns({"_mx": of("_fy", "i"), "_my": of("_fx", "j"), "_n": of("n"), "_ny": of("_fy"), "_nx": of("_fx")})
+    kinds = lambda c, m: F.size(F.collect_set(F.when(F.col(m) > 0, F.col(c))).over(Window.partitionBy(F.lit(1))))
+    rows = rows.withColumns({"_kx": kinds("i", "_mx"), "_ky": kinds("j", "_my")}).where("_mx > 0 and _my > 0")
+    rows = rows.withColumn("_e", F.col("_mx") / F.col("_ny") * F.col("_my") / F.col("_nx")).where(F.col("_e") * F.col("_n") >= least)
+    mean = F.avg("n").over(Window.partitionBy(F.lit(1)))
+    ratio = rows.select("i", "j", "n", (F.log2(F.col("n") / mean) - F.log2(F.col("_e") * F.col("_kx") * F.col("_ky"))).alias("ratio"))
     if not smooth:
         return ratio
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
