@@ -159,7 +159,7 @@ QUERIES = {
     "j02_unmapped_reads": _over(lambda h: h.select("read_id").distinct().join(h.where("qual >= 30").select("read_id"), "read_id", "left_anti"), "hits"),
     "j03_shared_bins": _over(_in_all, "contacts"),
     "f47_smoothed_map": _over(lambda c: R.smoothed_ratio(c, 5_000_000, [0, 1, 2], 10), "contacts"),
-    "d15_even_cells": _over(lambda c: R.even_cells(c, 1.0).groupBy("cell_id").agg(F.count("*").alias("n")), "contacts"),
+    "d15_even_cells": _over(lambda c: R.even_cells(c, 0.3).groupBy("cell_id").agg(F.count("*").alias("n")), "contacts"),
     "p40_cell_stats": _over(lambda c, m: R.cell_stats(c, m, BANDS, "mid", 0.19), "contacts", "cells"),
     "n10_expressions": _over(lambda s, t: A.window_values(s, t, "site_id", 100_000, -150_000, 150_000).select("site_id", F.expr("if(mean is not null and mean > 0, most, 0.0)").alias("value"), F.expr("n > 2 and least < 0").alias("mixed")), "sites", "tor"),
 }
@@ -240,7 +240,7 @@ SQL = {
         " JOIN t ON t.chrom = x.chrom WHERE r = 1",
         "contacts",
     ),
-    "d15_even_cells": _S(_EVEN + " SELECT cell_id, count(*) AS n FROM contacts JOIN ev USING (cell_id) WHERE max_enr <= 1.0 GROUP BY ALL", "contacts"),
+    "d15_even_cells": _S(_EVEN + " SELECT cell_id, count(*) AS n FROM contacts JOIN ev USING (cell_id) WHERE max_enr <= 0.3 GROUP BY ALL", "contacts"),
     "p40_cell_stats": _S(
         _GR + _D + _QC + _EVEN + f", ci AS (SELECT cell_id, d FROM dd WHERE d IS NOT NULL), b AS (SELECT cell_id, {_BANDS} FROM ci GROUP BY ALL), bl AS (SELECT *, {_LOGS}, mid >= 0.19 AS mitotic_like FROM b)"
         ", p AS (SELECT cell_id, pow((n - 1) / n, reads) AS none, (reads / n) * pow((n - 1) / n, reads - 1) AS once FROM qc), ex AS (SELECT cell_id, CASE WHEN 1 - none <> 0 THEN (1 - none - once) / (1 - none) END AS expected FROM p)"
