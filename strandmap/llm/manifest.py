@@ -148,7 +148,7 @@ def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
         raise ValueError(f"fanout must be 2 to {SPAN}")
     changed = [(replaced or {}).get(c, F.col(c)) for c in fields]
     leaves = rows.select(F.col(group_col).cast("string").alias("part"), F.col(id_col).alias("id"), leaf_of([F.col(c) for c in fields]).alias("digest"), (leaf_of(changed) if replaced else F.lit(None).cast("string")).alias("new"))
-    bands, subroots = ascend(leaves, ["id", "digest"], fanout, "leaves")
+    bands, subroots = ascend(shared_table(leaves, "digests"), ["id", "digest"], fanout, "leaves")  # sampled for ranges, so without texts
     subroots = shared_table(subroots, "subroots")  # a row a group
     groups, tops = ascend(subroots.select(F.lit(None).cast("string").alias("part"), F.col("part").alias("group"), "digest"), ["group"], fanout, "groups")
     top = tops.first()
