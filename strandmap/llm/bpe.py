@@ -513,12 +513,66 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: The prime 2^61 - 1, by which words are hashed, a base, and the longest slice whose sums stay below 2^64.
+PRIME, _BASE, _LONGEST = (1 << 61) - 1, 0x1B873593CC9E2D51, 1 << 24
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, from halves of 31 bits."""
+    s = np.uint64(31)
+    a1, a0, b1, b0 = a >> s, a & _LOW31, b >> s, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(_reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << s)) + _reduced(a0 * b0))
+
+
+@lru_cache(maxsize=2)
+def _prime_powers(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base modulo the prime in halves of 31 bits, and of its inverse."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, PRIME)):
+        x = np.ones(1, np.uint64)
+        for k in range(bits):
+            x = np.concatenate([x, _times(x, np.full(len(x), pow(base, 1 << k, PRIME), np.uint64))])
+        found.append(x)
+    return found[0] & _LOW31, found[0] >> np.uint64(31), found[1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of ``data``, from one prefix sum of its bytes times powers of a factor."""
-    up, down = _powers(max(20, len(data).bit_length()))
+    """64-bit hashes of slices of ``data``: their bytes as a polynomial modulo 2^61 - 1, from prefix sums of bytes times powers.
+
+    Two different slices of n bytes have one hash for at most n of the 2^61 bases. (Modulo a power of two
+    there are short slices that collide whatever the base.)
+    """
+    if len(lengths) and int(lengths.max()) > _LONGEST:
+        return _long_hashes(data, starts, lengths)
+    low, high, down = _prime_powers(max(20, len(data).bit_length()))
+    wide = data.astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[starts + lengths] - total[starts]) * down[starts] + (lengths.astype(np.uint64) << np.uint64(48)))
+    sums = []
+    for half in (low, high):
+        np.cumsum(wide * half[: len(data)], out=total[1:])
+        sums.append(total[starts + lengths] - total[starts])  # exact: below 2^63, though the prefix sums may wrap
+    value = _reduced(_reduced(sums[0]) + (sums[1] >> np.uint64(30)) + ((sums[1] & _LOW30) << np.uint64(31)))
+    return mix(_times(value, down[starts]) + (lengths.astype(np.uint64) << np.uint64(61)))
+
+
+def _long_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``word_hashes`` where some slices are long: such a slice's hash is that of its pieces' hashes, the others' are as ever."""
+    out = np.empty(len(starts), np.uint64)
+    short = lengths <= _LONGEST
+    for i in np.flatnonzero(~short).tolist():
+        cut = np.arange(0, int(lengths[i]), _LONGEST)
+        piece = data[starts[i] : starts[i] + lengths[i]]
+        each = np.concatenate([word_hashes(piece[c : c + _LONGEST], np.zeros(1, np.int64), np.array([min(_LONGEST, len(piece) - c)])) for c in cut.tolist()])
+        out[i] = word_hashes(each.view(np.uint8), np.zeros(1, np.int64), np.array([8 * len(each)]))[0] ^ np.uint64(len(piece))
+    out[short] = word_hashes(data, starts[short], lengths[short])
+    return out
 
 
 @lru_cache(maxsize=2)
