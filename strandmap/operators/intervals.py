@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmap.operators import scans as S
+
 
 def _cells(low: Column, high: Column, cell: int) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
@@ -70,13 +72,17 @@ def band_pairs(left: DataFrame, right: DataFrame, low: int, high: int) -> DataFr
     return a.join(b, (F.col("chrom") == F.col("chrom2")) & (F.col("_cell") == F.col("_other_cell")) & (gap >= low) & (gap <= high)).drop("_cell", "_other_cell")
 
 
-def canonic(intervals: DataFrame, key: list[str] | None = None, gap: int = 0) -> DataFrame:
-    """Overlapping and touching intervals (or those at most ``gap`` apart) merged: chrom, start, end_, n merged."""
-    by = Window.partitionBy("chrom", *(key or [])).orderBy("start", "end_")
-    before = F.max("end_").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (before.isNull() | (F.col("start") > before + gap)).cast("int")
-    island = F.sum("_fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return intervals.withColumn("_fresh", fresh).withColumn("_island", island).groupBy("chrom", *(key or []), "_island").agg(F.min("start").alias("start"), F.max("end_").alias("end_"), F.count("*").alias("n")).drop("_island")
+def canonic(intervals: DataFrame, key: list[str] | None = None, gap: int = 0, cell: int = 1_000_000) -> DataFrame:
+    """Overlapping and touching intervals (or those at most ``gap`` apart) merged: chrom, start, end_, n merged.
+
+    Intervals of one start are taken together, so a cell has at most ``cell`` rows; islands are found by chunked scans.
+    """
+    by = ["chrom", *(key or [])]
+    starts = intervals.groupBy(*by, "start").agg(F.max("end_").alias("_end"), F.count("*").alias("_n"))
+    rows = S.scan(S.by_cells(starts, "start", cell), by, "start", {"_before": ("max", F.col("_end"), False)})
+    fresh = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + gap), F.col("start"))
+    rows = S.scan(rows, by, "start", {"_island": ("max", fresh, True)})
+    return rows.groupBy(*by, F.col("_island").alias("start")).agg(F.max("_end").alias("end_"), F.sum("_n").alias("n"))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -113,10 +119,20 @@ def bins(chroms: DataFrame, size: int, chrom_len: int) -> DataFrame:
 
 
 def screen(binned: DataFrame, predicate: Column, size: int, key: list[str] | None = None) -> DataFrame:
-    """Maximal runs of neighbouring bins (chrom, start) for which ``predicate`` holds: chrom, start, end_, n bins."""
-    by = Window.partitionBy("chrom", *(key or [])).orderBy("start")
-    kept = binned.where(predicate).withColumn("_island", F.col("start") - size * F.row_number().over(by))
-    return kept.groupBy("chrom", *(key or []), "_island").agg(F.min("start").alias("start"), (F.max("start") + size).alias("end_"), F.count("*").alias("n")).drop("_island")
+    """Maximal runs of neighbouring bins (chrom, start) for which ``predicate`` holds: chrom, start, end_, n bins.
+
+    Bins are put into chunks of 1024; a chunk's last bin is shown to the next one too, so each knows where runs begin, and a
+    chunked scan carries a run's beginning on.
+    """
+    by, wide = ["chrom", *(key or [])], 1024 * size
+    bins = binned.where(predicate).select(*by, "start").distinct()
+    both = F.when(F.pmod(F.col("start"), F.lit(wide)) >= wide - size, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    shown = bins.withColumn("_next", F.explode(both)).withColumn(S.CHUNK, F.floor(F.col("start") / wide) + F.col("_next"))
+    before = F.lag("start").over(Window.partitionBy(*by, S.CHUNK).orderBy("start"))
+    fresh = F.when(before.isNull() | (before != F.col("start") - size), F.col("start"))
+    rows = shown.withColumn("_fresh", fresh).where("_next = 0").drop("_next")
+    rows = S.scan(rows, by, "start", {"_island": ("max", F.col("_fresh"), True)})
+    return rows.groupBy(*by, F.col("_island").alias("start")).agg((F.max("start") + size).alias("end_"), F.count("*").alias("n"))
 
 
 def window_average(points: DataFrame, track: DataFrame, chrom: str, at: str, reach: int, size: int, name: str, key: str) -> DataFrame:

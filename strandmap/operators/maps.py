@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from strandmap.functions import distance as D
 
 
-def _around(contacts: DataFrame, scale: int, res: int, low: int) -> DataFrame:
-    """Each contact within chromosomes, at least ``low`` apart, with every bin edge (multiples of res) whose square of +-scale it may touch."""
-    cis = contacts.where(D.is_cis() & (F.col("start2") - F.col("start1") >= low) & (F.col("start2") - F.col("start1") < 2 * scale))
-    first, last = F.ceil((F.col("start2") - scale) / res), F.floor((F.col("start1") + scale) / res)
-    return cis.where(first <= last).withColumn("_k", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).withColumn("at", F.col("_k") * res).drop("_k")
-
-
 def insulation(contacts: DataFrame, scale: int, res: int, min_diag: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
-    """For every multiple of ``res`` (and value of the columns ``by``): contacts with both ends within +-scale (big), those that cross it (ins), log2(ins / (big + 10))."""
-    rows = _around(contacts, scale, res, min_diag)
-    inside = (F.col("start1") >= F.col("at") - scale) & (F.col("start2") < F.col("at") + scale)
-    cross = inside & (F.col("start1") < F.col("at")) & (F.col("start2") >= F.col("at"))
-    out = rows.groupBy(*by, F.col("chrom1").alias("chrom"), F.col("at").alias("start")).agg(F.sum(F.when(inside, F.col("cnt")).otherwise(0)).alias("big"), F.sum(F.when(cross, F.col("cnt")).otherwise(0)).alias("ins"))
-    return out.where("big > 0").withColumn("insulation", F.when(F.col("ins") > 0, F.log2(F.col("ins") / (F.col("big") + 10))))
+    """For every multiple of ``res`` (and value of the columns ``by``): contacts with both ends within +-scale (big), those that cross it (ins), log2(ins / (big + 10)).
+
+    A contact counts at a run of neighbouring edges: it is added at the first and taken off past the last, whatever their
+    number, and a running sum over the edges gives the counts. Marks of one edge are summed before, so that window has at
+    most as many rows as a chromosome has edges.
+    """
+    near = D.is_cis() & (F.col("start2") - F.col("start1") >= min_diag) & (F.col("start2") - F.col("start1") < 2 * scale)
+    place = lambda c: F.floor(c / res)
+    first, last = F.greatest(place(F.col("start2") - scale) + 1, F.lit(0)), place(F.col("start1") + scale)
+    cross, over = F.greatest(first, place(F.col("start1")) + 1), F.least(last, place(F.col("start2")))
+    mark = lambda at, big, ins: F.struct(at.cast("long").alias("at"), F.lit(big).alias("big"), F.lit(ins).alias("ins"))
+    marks = F.array(mark(first, 1, 0), mark(last + 1, -1, 0), mark(cross, 0, 1), mark(F.greatest(over + 1, cross), 0, -1))  # an empty run adds and takes off at one place
+    keys = [*by, "chrom"]
+    ends = contacts.where(near & (first <= last)).select(*by, F.col("chrom1").alias("chrom"), "cnt", F.explode(marks).alias("e"))
+    steps = ends.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum(F.col("e.big") * F.col("cnt")).alias("_big"), F.sum(F.col("e.ins") * F.col("cnt")).alias("_ins"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.select(*keys, "at", F.lead("at").over(order).alias("_until"), F.sum("_big").over(run).alias("big"), F.sum("_ins").over(run).alias("ins")).where("big > 0")
+    out = out.withColumn("at", F.explode(F.sequence("at", F.col("_until") - 1)))  # up to the next mark nothing changes
+    return out.select(*keys, (F.col("at") * res).alias("start"), "big", "ins", F.when(F.col("ins") > 0, F.log2(F.col("ins") / (F.col("big") + 10))).alias("insulation"))
 
 
 def triangle_rows(contacts: DataFrame, loci: DataFrame, scale: int, discard_below: int) -> DataFrame:

@@ -14,6 +14,7 @@ from strandmap.operators import annotation as A
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
 from strandmap.operators import maps as MA
+from strandmap.operators.lineage import cut
 
 
 def slices(order: DataFrame, size: int) -> DataFrame:
@@ -27,9 +28,9 @@ def group_borders(contacts: DataFrame, groups: DataFrame, scale: int, res: int,
     A group's borders are the centres of its runs of bins below ``most``; those of different groups that are ``low`` to
     ``high`` apart become one.
     """
-    insulated = MA.insulation(contacts.join(groups, "cell_id"), scale, res, by=("grp",))
+    insulated = cut(MA.insulation(contacts.join(groups, "cell_id"), scale, res, by=("grp",)))
     own = I.centers(I.screen(insulated, F.col("insulation") < most, res, ["grp"]))
-    common = A.common_borders(own, low, high)
+    common = A.common_borders(cut(own), low, high)
     names = groups.select("grp").distinct().agg(F.collect_set("grp").alias("_all"))  # a name a group
     grid = common.join(F.broadcast(names)).withColumn("grp", F.explode("_all")).drop("_all", "end_")
     values = insulated.select("chrom", "grp", F.col("start").alias("_bin"), "insulation")
@@ -122,9 +123,9 @@ def pool_domains(contacts: DataFrame, scale: int, res: int, quantile: float, tra
 
     A bin is insulated if its value is below the ``quantile`` of all; bins without a value are.
     """
-    insulated = MA.insulation(contacts, scale, res)
-    cut = insulated.agg(F.percentile("insulation", F.lit(quantile)).alias("_cut"))
-    runs = I.screen(insulated.join(F.broadcast(cut)), F.col("insulation") >= F.col("_cut"), res).where((F.col("end_") - F.col("start")).between(low, high))
+    insulated = cut(MA.insulation(contacts, scale, res))
+    least = insulated.agg(F.percentile("insulation", F.lit(quantile)).alias("_cut"))
+    runs = cut(I.screen(insulated.join(F.broadcast(least)), F.col("insulation") >= F.col("_cut"), res).where((F.col("end_") - F.col("start")).between(low, high)))
     placed = runs.withColumn("key", F.struct("chrom", "start"))
     mean = A.window_values(placed, track, "key", size).select("key", F.col("mean").alias("tor"))
     return placed.join(mean, "key").select("chrom", "start", "end_", "tor")

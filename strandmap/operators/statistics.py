@@ -9,15 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmap.operators import scans as S
+
 
 def ks_statistic(df: DataFrame, group: str, value: str) -> DataFrame:
     """Largest difference of the two groups' distribution functions: group is 0 or 1; d, n0, n1, p (asymptotic)."""
-    steps = df.groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w = Window.partitionBy(F.lit(1)).orderBy(value)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    rows = steps.select(F.abs(F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every)).alias("gap"), F.sum("a").over(every).alias("n0"), F.sum("b").over(every).alias("n1"))
-    out = rows.agg(F.max("gap").alias("d"), F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    steps = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
+    rows = S.scan(S.by_ranges(steps, value), [], value, {"_a": ("sum", F.col("a"), True), "_b": ("sum", F.col("b"), True)})
+    total = F.broadcast(steps.agg(F.sum("a").alias("n0"), F.sum("b").alias("n1")))  # one row
+    out = rows.crossJoin(total).agg(F.max(F.abs(F.col("_a") / F.col("n0") - F.col("_b") / F.col("n1"))).alias("d"), F.first("n0").alias("n0"), F.first("n1").alias("n1"))
     x = F.col("d") * F.sqrt(F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
     p = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, 21)), F.lit(0.0))
     return out.withColumn("p", F.least(F.greatest(F.when(x < 0.2, 1.0).otherwise(p), F.lit(0.0)), F.lit(1.0)))
@@ -30,16 +30,18 @@ def adjusted(df: DataFrame, p: str) -> DataFrame:
     return rows.withColumn("q", F.least(F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_rank", "_n")
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Rank from 1, ties share their mean."""
-    keys = by or [F.lit(1)]
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """A row for each value that is not null: its number ``t`` and rank ``r`` from 1, ties at their mean, by a chunked scan over distinct values."""
+    steps = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t"))
+    rows = S.scan(S.by_ranges(steps, value), [], value, {"_before": ("sum", F.col("t"), False)})
+    return rows.select(value, "t", (F.col("_before") + (F.col("t") + 1) / 2).alias("r"))
 
 
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Wilcoxon's W of group 1 over group 0 with its normal approximation z (ties corrected, continuity 0.5)."""
-    rows = df.select(F.col(group).alias("g"), average_rank(value).alias("r"), F.count("*").over(Window.partitionBy(value)).alias("t"))
-    out = rows.agg(F.count_if(F.col("g") == 1).alias("n1"), F.count_if(F.col("g") == 0).alias("n0"), F.sum(F.when(F.col("g") == 1, F.col("r"))).alias("ranks"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    rows = df.where(F.col(value).isNotNull())
+    each = rows.groupBy(value).agg(F.count_if(F.col(group) == 1).alias("g1"), F.count_if(F.col(group) == 0).alias("g0"))
+    out = each.join(value_ranks(rows, value), value).agg(F.sum("g1").alias("n1"), F.sum("g0").alias("n0"), F.sum(F.col("g1") * F.col("r")).alias("ranks"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
     n = F.col("n0") + F.col("n1")
     w = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n0") * F.col("n1") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
@@ -48,7 +50,9 @@ def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.select(average_rank(x).alias("a"), average_rank(y).alias("b")).agg(F.corr("a", "b").alias("rho"))
+    ranks = lambda c, name: value_ranks(rows, c).select(F.col(c).alias(f"_{c}"), F.col("r").alias(name))
+    both = rows.join(ranks(x, "_rx"), F.col(x) == F.col(f"_{x}")).join(ranks(y, "_ry"), F.col(y) == F.col(f"_{y}"))
+    return both.agg(F.corr("_rx", "_ry").alias("rho"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Rolling, cyclic and rank windows, and groups of ranks.
 
-A window over a whole order needs all its rows in one place; orders here are of
-cells or chromosomes, some thousands at most, unless ``by`` splits them.
+Rolling windows over a whole order need all its rows in one place; those orders are
+of cells or chromosomes, some thousands at most, unless ``by`` splits them. Sums,
+runs and gaps over an order of any length are chunked scans.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandmap.operators import scans as S
+
 
 def _order(order: str, by: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*(by or (F.lit(1),))).orderBy(order)
@@ -39,22 +42,20 @@ def block_sums(df: DataFrame, order: str, value: str, size: int) -> DataFrame:
 
 def offsets(sizes: DataFrame, order: str, size: str) -> DataFrame:
     """Where each begins when they are laid end to end, as ``offset``."""
-    w = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("offset", F.sum(size).over(w) - F.col(size))
+    return S.unchunked(S.scan(S.by_ranges(sizes, order), [], order, {"offset": ("sum", F.col(size), False)}))
 
 
 def runs(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Run lengths of equal values in order: run, value, first, length, last."""
-    w = Window.partitionBy(F.lit(1)).orderBy(order)
-    fresh = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
-    rows = df.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Run lengths of equal values in order of a number: run, value, first, length, last. Of equal places any comes first; nulls end a run and are runs of one."""
+    rows = S.scan(S.by_ranges(df, order), [], order, {"_last": ("last", F.struct(value), False)})
+    fresh = F.coalesce((F.col(value) != F.col(f"_last.{value}")).cast("int"), F.lit(1))
+    rows = S.scan(rows.withColumn("_fresh", fresh), [], order, {"run": ("sum", F.col("_fresh"), True)})
     return rows.groupBy("run", value).agg(F.min(order).alias("first"), F.count("*").alias("length"), F.max(order).alias("last"))
 
 
 def widest_gap(df: DataFrame, order: str, a: str, b: str) -> DataFrame:
     """The first place at which the running sum of ``b`` is most above that of ``a``."""
-    w = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("gap", F.sum(b).over(w) - F.sum(a).over(w))
+    rows = S.scan(S.by_ranges(df, order), [], order, {"gap": ("sum", F.col(b) - F.col(a), True)})
     return rows.agg(F.max(F.struct("gap", (-F.col(order)).alias("o"))).alias("m")).select((-F.col("m.o")).alias(order), F.col("m.gap").alias("gap"))
 
 
