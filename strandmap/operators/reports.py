@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandmap.functions import distance as D
 from strandmap.functions import measures as M
 from strandmap.operators import annotation as A
+from strandmap.operators import areas as AR
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
 from strandmap.operators import maps as MA
@@ -257,7 +258,7 @@ def smoothed_ratio(contacts: DataFrame, size: int, windows: list[int], least: in
 
     A cell takes the smallest of ``windows`` (cells to each side, ascending) that holds ``least`` contacts, else the widest
     if that holds 0.6 of them; others, and cells without contacts in reach, have no row. Maps are symmetric; what is expected
-    is the product of the margins, summed over the window. A contact reaches (2w + 1)^2 cells of the widest window w.
+    is the product of the margins, summed over the window. Windows are read from summed-area tables (``areas.window_sums``).
     """
     at = [F.floor(F.col(f"start{i}") / size) for i in (1, 2)]
     cis = contacts.where(D.is_cis()).select(F.col("chrom1").alias("chrom"), at[0].alias("i"), at[1].alias("j"))
@@ -265,8 +266,7 @@ def smoothed_ratio(contacts: DataFrame, size: int, windows: list[int], least: in
     w = windows[-1]
     step = lambda: F.explode(F.sequence(F.lit(-w), F.lit(w)))
     held = lambda off, k: F.sum(F.when(off <= k, F.col("_n")).otherwise(0))
-    spread = cells.withColumn("_a", step()).withColumn("_b", step()).select("chrom", (F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), F.greatest(F.abs("_a"), F.abs("_b")).alias("_off"), "_n")
-    sums = spread.groupBy("chrom", "i", "j").agg(F.array(*(held(F.col("_off"), k) for k in windows)).alias("_obs"))
+    sums = AR.window_sums(cells.withColumnRenamed("_n", "n"), ["chrom"], windows).withColumnRenamed("sums", "_obs")
     margin = cells.groupBy("chrom", "i").agg(F.sum("_n").alias("_n"))
     total = margin.groupBy("chrom").agg(F.sum("_n").alias("_total"))
     wide = margin.withColumn("_a", step()).select("chrom", (F.col("i") + F.col("_a")).alias("i"), F.abs("_a").alias("_off"), "_n").groupBy("chrom", "i").agg(F.array(*(held(F.col("_off"), k) for k in windows)).alias("_m"))
