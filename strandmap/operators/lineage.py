@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written once into the folder of spark.checkpoint.dir, which all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; on one machine, where that is unset, its temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below ``shared_root``."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
-    Where that is unset, one machine's temporary folder takes its place; on a cluster that is an error, since each executor would write to a disk of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written once below ``shared_root``."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not (context.master == "local" or context.master.startswith("local[")):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = f"{tempfile.gettempdir()}/checkpoints"
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

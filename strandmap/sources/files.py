@@ -10,11 +10,30 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandmap.operators import scans as S
+
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their file and number in it. A file is numbered in one task, as gzip files are read in one."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("_id")) - 1).drop("_id")
+    """Lines with their file, the split of it that they were read in, and their number in the file.
+
+    A plain file is read in as many splits as Spark cuts it into; a row a split says how many lines come before it, so no
+    task holds a whole file. Packed files are one split.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = rows.groupBy(F.col("file").alias("_file"), F.col("split").alias("_split")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    both = rows.join(splits, (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")))
+    return both.select("value", "file", "split", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line"))
+
+
+def ranged(records: DataFrame, parts: int) -> DataFrame:
+    """Records (file, ord) with ``part``, one of ``parts`` ranges of equally many neighbours over all files in order of their names, from 0."""
+    sizes = records.groupBy(F.col("file").alias("_file")).agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(F.lit(1))  # a row a file
+    sizes = sizes.select("_file", (F.sum("_n").over(every.orderBy("_file")) - F.col("_n")).alias("_before"), F.sum("_n").over(every).alias("_total"))
+    both = records.join(sizes, F.col("file") == F.col("_file"))
+    return both.withColumn("part", F.expr(f"int((_before + ord) div (_total div {parts} + 1))")).drop("_file", "_before", "_total")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], hard_trim: int | None = None, min_phred: int | None = None) -> DataFrame:
@@ -39,12 +58,23 @@ def sampled(records: DataFrame, every: int = 123) -> DataFrame:
     return records.where(F.col("ord") % every == 0)
 
 
+def read_fasta_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chrom, at (from 0), seq (upper case): the lines of every sequence with the place where they begin; chrom without its chr.
+
+    Headers and places are carried from split to split, so a sequence of any length is read by many tasks.
+    """
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(?:chr)?(\S+)", 1))
+    rows = _lines(spark, path).withColumn(S.CHUNK, F.col("split")).withColumn("_head", F.when(head.isNotNull(), F.struct("line", head.alias("chrom"))))
+    rows = S.scan(rows, ["file"], "line", {"_of": ("last", F.col("_head"), True), "_end": ("sum", F.when(F.col("_head").isNull(), F.length("value")).otherwise(0), True)})
+    rows = rows.withColumn("_from", F.when(F.col("_head").isNotNull(), F.col("_end")))
+    rows = S.scan(rows, ["file"], "line", {"_begun": ("last", F.col("_from"), True)})
+    return rows.where("_head is null and _of is not null").select(F.col("_of.chrom").alias("chrom"), (F.col("_end") - F.length("value") - F.col("_begun")).alias("at"), F.upper("value").alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """chrom and seq, lines joined, upper case; chrom without its chr."""
-    rows = _lines(spark, path)
-    w = Window.partitionBy("file").orderBy("line")
-    rows = rows.withColumn("chrom", F.last(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(?:chr)?(\S+)", 1)), ignorenulls=True).over(w)).where(~F.col("value").startswith(">"))
-    return rows.groupBy("chrom").agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "")).alias("seq"))
+    """chrom and seq, lines joined, upper case; chrom without its chr. For sequences of bounded length; ``read_fasta_pieces`` is for any."""
+    pieces = read_fasta_pieces(spark, path)
+    return pieces.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "").alias("seq"))
 
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -129,7 +159,8 @@ def motif_energy(seqs: DataFrame, weights: list[list[float]], reverse: bool = Fa
                     continue
                 wide = np.concatenate([table, np.full((len(table), 1), -np.inf)], 1)
                 score = sum(wide[k][x[k : k + n]] for k in range(len(table)))
-                out.append((chrom, float(score.max()), float(np.log(np.exp(score).sum())) if np.isfinite(score).any() else None))
+                best = score.max()
+                out.append((chrom, float(best), float(best + np.log(np.exp(score - best).sum())) if np.isfinite(best) else None))
             yield pd.DataFrame(out, columns=["chrom", "best", "energy"])
 
     return seqs.select("chrom", "seq").mapInPandas(scan, "chrom string, best double, energy double")
