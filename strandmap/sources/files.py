@@ -79,12 +79,17 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Fields of alignment rows, with read, mate and segment from ids like name:R1SEG0:0:35."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
+    return sam_fields(spark.read.text(path))
+
+
+def sam_fields(lines: DataFrame, *further: str) -> DataFrame:
+    """The same of lines (value) that were read in another way, with ``further`` columns of theirs."""
+    rows = lines.where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"), *further)
     field = lambda i: F.get("f", F.lit(i))
     pattern = r"^(.*):R(\d)SEG(\d+):(\d+):(\d+)$"
     part = lambda i: F.regexp_extract(field(0), pattern, i)
     number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
-    return rows.select(F.coalesce(F.nullif(part(1), F.lit("")), field(0)).alias("read_id"), number(2).alias("mate"), number(3).alias("seg"), number(4).alias("rfr"), number(5).alias("rto"), field(1).cast("int").alias("flag"), field(2).alias("chrom"), field(3).cast("long").alias("pos"), field(4).cast("int").alias("mapq"), field(5).alias("cigar"), F.length(field(9)).alias("len"))
+    return rows.select(F.coalesce(F.nullif(part(1), F.lit("")), field(0)).alias("read_id"), number(2).alias("mate"), number(3).alias("seg"), number(4).alias("rfr"), number(5).alias("rto"), field(1).cast("int").alias("flag"), field(2).alias("chrom"), field(3).cast("long").alias("pos"), field(4).cast("int").alias("mapq"), field(5).alias("cigar"), F.length(field(9)).alias("len"), *further)
 
 
 def read_frags(spark: SparkSession, path: str) -> DataFrame:
