@@ -109,9 +109,18 @@ def middle_fragments(points: DataFrame, frags: DataFrame, key: str, width: int,
     Of n it is number n / 2, rounded half to even, and the first at least; points without one go.
     """
     free = frags if used is None else frags.join(used.select("fid").distinct(), "fid", "left_anti")
-    near = points.select(key, F.col("chrom").alias("_c"), (F.col("at") - width).alias("_lo"), F.col("at").alias("_hi"))
-    hit = I.overlap_join(near, free.select("fid", "chrom", "start", "end_"), ("_c", "_lo", "_hi"), ("chrom", "start", "end_"), max(width, 1))
-    hit = hit.where((F.col("start") >= F.col("_lo")) & (F.col("end_") <= F.col("_hi")))
+    return middle_of(fragments_within(points.select(key, "chrom", "at"), free, key, width), key)
+
+
+def fragments_within(points: DataFrame, frags: DataFrame, key: str, width: int) -> DataFrame:
+    """The fragments that lie whole in the ``width`` bases before each point (key, chrom, at, further columns), with the point's columns but the place."""
+    near = points.withColumnsRenamed({"chrom": "_c", "at": "_hi"}).withColumn("_lo", F.col("_hi") - width)
+    hit = I.overlap_join(near, frags.select("fid", "chrom", "start", "end_"), ("_c", "_lo", "_hi"), ("chrom", "start", "end_"), max(width, 1))
+    return hit.where((F.col("start") >= F.col("_lo")) & (F.col("end_") <= F.col("_hi"))).drop("_c", "_hi", "_lo")
+
+
+def middle_of(hit: DataFrame, key: str) -> DataFrame:
+    """The middle one of the fragments (key, fid, start) of each key: of n number n / 2, rounded half to even, and the first at least."""
     by = Window.partitionBy(key)
     rows = hit.withColumns({"_k": F.row_number().over(by.orderBy("start", "fid")), "_n": F.count("*").over(by)})
     return rows.where(F.col("_k") == F.greatest(F.bround(F.col("_n") / 2), F.lit(1))).select(key, "fid")
