@@ -116,34 +116,6 @@ def spectral_embedding(edges: DataFrame, dims: int = 2) -> list[tuple[int, list[
     return [(int(n), v.tolist()) for n, v in zip(nodes, chosen, strict=True)]
 
 
-def kmeans_with_gaps(rows: np.ndarray, k: int, rounds: int = 50, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """k-means that leaves missing values (NaN) out of distances and centres: labels, centres. Seeds far from each other."""
-    rng = np.random.default_rng(seed)
-    known = ~np.isnan(rows)
-    filled = np.where(known, rows, 0.0)
-
-    def apart(centres: np.ndarray) -> np.ndarray:
-        gap = known @ (centres**2).T - 2 * filled @ centres.T + (filled**2).sum(1)[:, None]
-        return gap / np.maximum(known.sum(1), 1)[:, None]
-
-    mean = np.nan_to_num(np.nanmean(np.where(known.any(0), rows, 0), axis=0))
-    centres = [np.where(known[i := int(rng.integers(len(rows)))], rows[i], mean)]
-    while len(centres) < k:
-        i = int(np.argmax(apart(np.array(centres)).min(1)))
-        centres.append(np.where(known[i], rows[i], mean))
-    centre = np.array(centres)
-    label = np.full(len(rows), -1)
-    for _ in range(rounds):
-        new = apart(centre).argmin(1)
-        if (new == label).all():
-            break
-        label = new
-        for c in range(k):
-            n = known[label == c].sum(0)
-            centre[c] = np.where(n > 0, filled[label == c].sum(0) / np.maximum(n, 1), centre[c])
-    return label, centre
-
-
 def ward(rows: np.ndarray) -> list[tuple[int, int, float]]:
     """Ward's hierarchical clustering of a few thousand rows: merges (a, b, height); merged clusters are numbered from len(rows) on."""
     n = len(rows)
@@ -162,39 +134,3 @@ def ward(rows: np.ndarray) -> list[tuple[int, int, float]]:
         centre[new] = (centre[a] * size[a] + centre[b] * size[b]) / size[new]
         alive = [x for x in alive if x not in (a, b)] + [new]
     return out
-
-
-def smoothed_map(counts: np.ndarray, windows: list[int], least: float = 30.0) -> np.ndarray:
-    """log2 of observed over expected (from the margins) in the smallest centred window that holds ``least`` contacts, by summed-area tables; NaN where none holds 60 % of it."""
-    total = counts.sum()
-    expected = np.outer(counts.sum(1), counts.sum(0)) / max(total, 1)
-    tables = [np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for x in (counts.astype(float), expected)]
-    rows, columns = counts.shape
-    out, seen = np.full(counts.shape, np.nan), np.zeros(counts.shape)
-    for w in sorted(windows):
-        r0, r1 = np.clip(np.arange(rows) - w, 0, rows), np.clip(np.arange(rows) + w + 1, 0, rows)
-        c0, c1 = np.clip(np.arange(columns) - w, 0, columns), np.clip(np.arange(columns) + w + 1, 0, columns)
-        seen_now, expect = (t[np.ix_(r1, c1)] - t[np.ix_(r0, c1)] - t[np.ix_(r1, c0)] + t[np.ix_(r0, c0)] for t in tables)
-        fill = (seen < least) & (seen_now > 0) & (expect > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[fill] = np.log2(seen_now / expect)[fill]
-        seen = np.where(fill, seen_now, seen)
-    out[seen < 0.6 * least] = np.nan
-    return out
-
-
-def sampled_to(counts: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """Each row of counts drawn down to n without replacement; rows with fewer become zeros."""
-    rng = np.random.default_rng(seed)
-    return np.array([rng.multivariate_hypergeometric(r, n) if r.sum() >= n else np.zeros(len(r), np.int64) for r in counts.astype(np.int64)]).reshape(counts.shape)
-
-
-def peaks(counts: np.ndarray, width: int = 5, high: float = 10.0, around: float = 3.0) -> list[int]:
-    """Bins at least ``high`` times the median whose surroundings' mean is ``around`` times it, strongest first, none within ``width`` of a stronger one."""
-    median = max(float(np.median(counts)), 1e-9)
-    out: list[int] = []
-    for i in np.lexsort([np.arange(len(counts)), -counts]):
-        near = counts[max(0, i - width) : i + width + 1]
-        if counts[i] >= high * median and near.mean() >= around * median and all(abs(i - j) > width for j in out):
-            out.append(int(i))
-    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -51,13 +53,28 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame | None:
         return None
 
 
-def build_all(spark: SparkSession, plans: dict[str, Callable[[], DataFrame]], path: str, rebuild: bool = False) -> dict[str, DataFrame]:
-    """The tables of ``plans`` as kept below ``path``; missing ones, or all with ``rebuild``, are built and written first."""
+def key_of(spark: SparkSession, parameters: dict, *inputs: DataFrame) -> str:
+    """A digest of parameters and of the files (names, sizes, times) that the inputs read: another one means other tables."""
+    lines = [json.dumps(parameters, sort_keys=True, default=str)]
+    for df in inputs:
+        for name in sorted(df.inputFiles()):  # a row a file
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+            lines.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
+
+
+def build_all(spark: SparkSession, plans: dict[str, Callable[[], DataFrame]], path: str, rebuild: bool = False, key: str = "") -> dict[str, DataFrame]:
+    """The tables of ``plans`` as kept below ``path``; missing ones, or all with ``rebuild``, are built and written first.
+
+    Tables are kept by name and ``key`` (see ``key_of``), so those of other parameters or inputs are not taken for these.
+    """
     out = {}
     for name, plan in plans.items():
-        kept = None if rebuild else load(spark, path, name)
+        folder = f"{name}-{key}" if key else name
+        kept = None if rebuild else load(spark, path, folder)
         if kept is None:
-            plan().write.mode("overwrite").parquet(f"{path}/{name}")
-            kept = spark.read.parquet(f"{path}/{name}")
+            plan().write.mode("overwrite").parquet(f"{path}/{folder}")
+            kept = spark.read.parquet(f"{path}/{folder}")
         out[name] = kept
     return out

@@ -12,6 +12,7 @@ from strandmap.operators import digest as G
 from strandmap.operators import phasing as P
 from strandmap.operators import statistics as K
 from strandmap.plans.contact_queries import _FINE
+from strandmap.plans.contact_queries import SQL as _CONTACT_SQL
 from strandmap.plans.fixtures import duckdb_sql, view
 from strandmap.plans.interval_queries import _ORD, _ordered
 
@@ -84,6 +85,8 @@ QUERIES = {
     "k17_js_distances": _over(lambda c: K.js_distances(_shares(C.fine_decay(c)), "cell_id", "p", 8), "contacts"),
     "i08_seven_nearest": _over(lambda c: K.nearest_rows(K.js_distances(_shares(C.fine_decay(c)), "cell_id", "p", 8).withColumn("d", F.round("d", 9)), 7).select("i", "j", "rank"), "contacts"),
     "g18_phase_metrics": _over(lambda c: P.decay_metrics(C.fine_decay(c)).select("cell_id", "near", "mitotic", "far_mu", "far_tightness", "n"), "contacts"),
+    "k01_ks_p": _over(lambda c: K.ks_statistic(_two(c), "g", "f").select("d", "p"), "contacts"),
+    "g18_order": _over(lambda c, t: P.phased(_metrics(c, t), _RULES).select("cell_id", "group", "ord"), "contacts", "tor"),
     "g18_phased": _over(lambda c, t: P.phased(_metrics(c, t), _RULES).select("cell_id", "group"), "contacts", "tor"),
     "k18_order_agreement": _over(lambda c: P.order_agreement(_ordered(c.where("chrom1 % 2 = 0")).select("cell_id", "ord"), _ordered(c.where("chrom1 % 2 = 1")).select("cell_id", "ord")), "contacts"),
     "l27_on_a_wheel": _over(lambda c: P.on_a_wheel(_ordered(c).select("cell_id", "ord")), "contacts"),
@@ -139,6 +142,19 @@ SQL = {
     "k17_js_distances": _S(_JS + " SELECT * FROM js", "contacts"),
     "i08_seven_nearest": _S(_JS + ", b AS (SELECT i, j, round(d, 9) AS d FROM js UNION ALL SELECT j, i, round(d, 9) FROM js), r AS (SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank FROM b) SELECT * FROM r WHERE rank <= 7", "contacts"),
     "g18_phase_metrics": _S(_MET + " SELECT * FROM mt", "contacts"),
+    "k01_ks_p": _S(
+        _TWO + ", e AS (SELECT DISTINCT f FROM tw), d AS (SELECT abs((SELECT count(*) FROM tw WHERE g = 0 AND tw.f <= e.f) / (SELECT count(*) FROM tw WHERE g = 0) - (SELECT count(*) FROM tw WHERE g = 1 AND tw.f <= e.f) / (SELECT count(*) FROM tw WHERE g = 1)) AS gap FROM e)"
+        ", m AS (SELECT max(gap) AS d, max(gap) * sqrt((SELECT count(*) FROM tw WHERE g = 0) * (SELECT count(*) FROM tw WHERE g = 1) / (SELECT count(*) FROM tw)) AS x FROM d)"
+        " SELECT d, least(greatest(CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(1, 21), lambda k: 2 * (-1) ** (k - 1) * exp(-2.0 * k * k * x * x))) END, 0), 1) AS p FROM m",
+        "contacts",
+    ),
+    "g18_order": _S(
+        _MET + ", rs AS (" + _CONTACT_SQL["f27_replication_shares"] + f"), gr AS (SELECT mt.*, early_f, CASE WHEN near > {_R.near_max_post_m} AND {_R.pre_m_slope} * mitotic - near + {_R.pre_m_intercept} < 0 THEN 5 WHEN mitotic >= {_R.mitotic_min_post_m} AND near <= {_R.near_max_post_m} THEN 1 WHEN near <= {_R.near_s_start} THEN 2 WHEN near <= {_R.near_mid_s} THEN 3 ELSE 4 END AS g FROM mt JOIN rs USING (cell_id))"
+        ", st AS (SELECT *, avg(near) OVER w AS near_m, stddev_samp(near) OVER w AS near_s, avg(far_mu) OVER w AS far_m, stddev_samp(far_mu) OVER w AS far_s, var_samp(near) OVER w AS near_v, var_samp(early_f) OVER w AS early_v FROM gr WINDOW w AS (PARTITION BY g))"
+        ", ky AS (SELECT cell_id, g, CASE g WHEN 1 THEN -mitotic WHEN 2 THEN coalesce((near - near_m) / nullif(near_s, 0), 0) + coalesce((far_mu - far_m) / nullif(far_s, 0), 0) WHEN 3 THEN coalesce(near / nullif(near_v, 0), 0) + coalesce(early_f / nullif(early_v, 0), 0) WHEN 4 THEN coalesce(near / nullif(near_v, 0), 0) - coalesce(early_f / nullif(early_v, 0), 0) ELSE mitotic END AS key FROM st)"
+        " SELECT cell_id, g AS \"group\", CAST(row_number() OVER (ORDER BY g, round(key, 9), cell_id) AS INTEGER) AS ord FROM ky",
+        "contacts", "tor",
+    ),
     "g18_phased": _S(_MET + f" SELECT cell_id, CASE WHEN near > {_R.near_max_post_m} AND {_R.pre_m_slope} * mitotic - near + {_R.pre_m_intercept} < 0 THEN 5 WHEN mitotic >= {_R.mitotic_min_post_m} AND near <= {_R.near_max_post_m} THEN 1 WHEN near <= {_R.near_s_start} THEN 2 WHEN near <= {_R.near_mid_s} THEN 3 ELSE 4 END AS \"group\" FROM mt", "contacts"),
     "k18_order_agreement": _S("".join(f", t{i} AS (SELECT cell_id, count(*) AS n FROM contacts WHERE chrom1 % 2 = {i} GROUP BY ALL), o{i} AS (SELECT cell_id, CAST(row_number() OVER (ORDER BY n, cell_id) AS INT) AS ord FROM t{i})" for i in (0, 1)) + ", b AS (SELECT a.cell_id, a.ord AS x, b.ord AS y, count(*) OVER () AS n FROM o0 a JOIN o1 b USING (cell_id)) SELECT cell_id, x, y, least(abs(x - y), n - abs(x - y)) AS gap, least(abs(x - y), n - abs(x - y)) >= 0.1 * n AS outlier FROM b", "contacts"),
     "l27_on_a_wheel": _S(_ORD + " SELECT cell_id, ord, 2 * pi() * ord / (SELECT count(*) FROM o) AS angle FROM o", "contacts"),

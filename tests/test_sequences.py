@@ -91,16 +91,8 @@ def test_config(tmp_path):
 
 
 def test_clusterings():
-    rng = np.random.default_rng(0)
-    rows = np.concatenate([rng.normal(0, 0.1, (20, 3)), rng.normal(5, 0.1, (20, 3))])
-    rows[3, 1] = np.nan
-    label, _ = K.kmeans_with_gaps(rows, 2)
-    assert len({*label[:20]}) == 1 and len({*label[20:]}) == 1 and label[0] != label[-1]
     merges = K.ward(np.array([[0.0], [0.1], [5.0], [5.2]]))
     assert [(a, b) for a, b, _ in merges] == [(0, 1), (2, 3), (4, 5)]
-    assert K.peaks(np.array([1, 1, 1, 50, 1, 1, 1, 1, 1, 1, 1, 1, 40, 1, 1, 1]), 2, 10, 3) == [3, 12]
-    assert (K.sampled_to(np.array([[5, 5], [1, 0]]), 4).sum(1) == [4, 0]).all()
-    assert np.isnan(K.smoothed_map(np.zeros((4, 4)), [1])).all()
 
 
 def test_phase_rules_in_order(spark):
