@@ -7,8 +7,9 @@ on the input.
 * Suffixes. Of the GRAM-byte strings inside each window the one with the
   smallest hash, leftmost among equals, is its anchor. Equal windows have equal
   anchors at equal distances, so only suffixes that start at anchors, about one
-  in 35, are needed. A first shuffle, of hashes only, leaves the anchors that
-  occur at least twice.
+  in 35, are needed. Texts are dealt to parts first, by a hash of id and text; of
+  their anchors only hashes go on, which leaves the anchors that occur at least
+  twice. Parts read their texts again with those.
 * Buckets. Those suffixes, with just the bytes of the windows that they anchor,
   are dealt to ranges of their leading tokens (eight bytes), between splitters
   taken from a sample of texts. Copies within a task go as one suffix, the
