@@ -114,23 +114,3 @@ def spectral_embedding(edges: DataFrame, dims: int = 2) -> list[tuple[int, list[
     chosen = vectors[:, 1 : dims + 1]
     chosen = chosen * np.sign(chosen[np.abs(chosen).argmax(0), np.arange(chosen.shape[1])])
     return [(int(n), v.tolist()) for n, v in zip(nodes, chosen, strict=True)]
-
-
-def ward(rows: np.ndarray) -> list[tuple[int, int, float]]:
-    """Ward's hierarchical clustering of a few thousand rows: merges (a, b, height); merged clusters are numbered from len(rows) on."""
-    n = len(rows)
-    size, centre, alive = {i: 1 for i in range(n)}, {i: rows[i].astype(float) for i in range(n)}, list(range(n))
-    out = []
-    while len(alive) > 1:
-        points, weights = np.array([centre[i] for i in alive]), np.array([size[i] for i in alive], float)
-        gap = (points**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * points @ points.T
-        cost = np.maximum(gap, 0) * 2 * weights[:, None] * weights[None] / (weights[:, None] + weights[None])
-        np.fill_diagonal(cost, np.inf)
-        i, j = divmod(int(cost.argmin()), len(alive))
-        i, j = min(i, j), max(i, j)
-        a, b, new = alive[i], alive[j], n + len(out)
-        out.append((a, b, float(np.sqrt(cost[i, j]))))
-        size[new] = size[a] + size[b]
-        centre[new] = (centre[a] * size[a] + centre[b] * size[b]) / size[new]
-        alive = [x for x in alive if x not in (a, b)] + [new]
-    return out

@@ -90,11 +90,6 @@ def test_config(tmp_path):
     assert arguments(["-k", "v", "@" + str(tmp_path / "b.conf")]) == {"k": "v", "DIR": "/x"}
 
 
-def test_clusterings():
-    merges = K.ward(np.array([[0.0], [0.1], [5.0], [5.2]]))
-    assert [(a, b) for a, b, _ in merges] == [(0, 1), (2, 3), (4, 5)]
-
-
 def test_phase_rules_in_order(spark):
     df = spark.createDataFrame([(0.9, 0.0), (0.7, 0.0), (0.6, 0.0), (0.4, 0.4), (0.55, 0.4)], "near double, mitotic double")
     assert [r.g for r in df.select(P.phase_group(F.col("near"), F.col("mitotic")).alias("g")).collect()] == [4, 3, 2, 1, 5]
