@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmap.operators import scans as S
 from strandmap.operators.lineage import cut
 
 #: Clusters of a block, and columns that a leaf may have.
@@ -132,22 +133,50 @@ def ward(items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [*merges, last])
 
 
-def leaf_order(merges: DataFrame) -> DataFrame:
-    """row, place (from 0) of the leaves as the tree draws them, left before right.
+def _starts(merges: DataFrame) -> DataFrame:
+    """node (made, row), start: how many leaves the tree draws left of each cluster but the root.
 
-    A leaf's place is the number of leaves left of it: at each ancestor that it is to the
-    right of, the size of the left side. Steps up the tree double, so a tree of depth h
-    takes log h rounds of joins whatever its shape.
+    At each ancestor that a cluster is to the right of, the left side's size counts. Steps up
+    the tree double, so a tree of depth h takes log h rounds of joins whatever its shape.
     """
     name = lambda side: F.struct(F.col(f"{side}made").alias("made"), F.col(f"{side}row").alias("row"))
-    sizes = merges.select(name("").alias("node"), "size")
-    rows = merges.select(name("left_").alias("left"), name("right_").alias("right"), name("").alias("up"))
-    left = rows.join(sizes, rows["left"] == sizes["node"], "left").select("left", "right", "up", F.coalesce("size", F.lit(1)).alias("_n"))
-    steps = left.select(F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit(0).cast("long").alias("off")), F.struct(F.col("right").alias("node"), F.col("_n").cast("long").alias("off")))).alias("_s"), "up")
-    at = cut(steps.select("_s.node", "_s.off", "up"))
+    sizes = merges.select(name("").alias("left"), F.col("size").alias("_n"))
+    rows = merges.select(name("left_").alias("left"), name("right_").alias("right"), name("").alias("up")).join(sizes, "left", "left")
+    side = lambda node, start: F.struct(F.col(node).alias("node"), start.cast("long").alias("start"))
+    at = cut(rows.select(F.explode(F.array(side("left", F.lit(0)), side("right", F.coalesce("_n", F.lit(1))))).alias("_s"), "up").select("_s.*", "up"))
     while True:
-        higher = at.select(F.col("node").alias("up"), F.col("off").alias("_off"), F.col("up").alias("_up"))
-        at = cut(at.join(higher, "up", "left").select("node", (F.col("off") + F.coalesce("_off", F.lit(0))).alias("off"), F.coalesce("_up", "up").alias("up"), F.col("_up").isNotNull().alias("_moved")))
+        higher = at.select(F.col("node").alias("up"), F.col("start").alias("_start"), F.col("up").alias("_up"))
+        at = cut(at.join(higher, "up", "left").select("node", (F.col("start") + F.coalesce("_start", F.lit(0))).alias("start"), F.coalesce("_up", "up").alias("up"), F.col("_up").isNotNull().alias("_moved")))
         if at.where("_moved").isEmpty():
-            return at.where("node.made = 0").select(F.col("node.row").alias("row"), F.col("off").alias("place"))
+            return at.select("node", "start")
         at = at.drop("_moved")
+
+
+def leaf_order(merges: DataFrame) -> DataFrame:
+    """row, place (from 0) of the leaves as the tree draws them, left before right."""
+    return _starts(merges).where("node.made = 0").select(F.col("node.row").alias("row"), F.col("start").alias("place"))
+
+
+def reordered(merges: DataFrame, weights: DataFrame) -> DataFrame:
+    """Merges with the side of the lower mean weight of its leaves on the left; weights are row, weight, one a leaf.
+
+    A cluster's leaves are a run of the order, so its sum is the difference of two running
+    sums. Leaves without a weight do not count; where a side has none, or means are equal, sides stay.
+    """
+    starts = _starts(merges)
+    leaves_at = starts.where("node.made = 0").select(F.col("node.row").alias("row"), F.col("start").alias("place"))
+    own = cut(leaves_at.join(weights.select("row", F.col("weight").cast("double").alias("_w")), "row", "left"))
+    sums = {"_s": ("sum", F.coalesce("_w", F.lit(0.0)), True), "_k": ("sum", F.when(F.col("_w").isNull(), 0).otherwise(1), True)}
+    run = cut(S.scan(S.by_ranges(own, "place"), [], "place", sums))
+    first = run.select(F.col("place").alias("_from"), (F.col("_s") - F.coalesce("_w", F.lit(0.0))).alias("_s0"), (F.col("_k") - F.when(F.col("_w").isNull(), 0).otherwise(1)).alias("_k0"))
+    last = run.select(F.col("place").alias("_to"), F.col("_s").alias("_s1"), F.col("_k").alias("_k1"))
+    sizes = merges.select(F.struct("made", "row").alias("node"), "size")
+    spans = starts.join(sizes, "node", "left").select("node", F.col("start").alias("_from"), (F.col("start") + F.coalesce("size", F.lit(1)) - 1).alias("_to"))
+    means = cut(spans.join(first, "_from").join(last, "_to").select("node", ((F.col("_s1") - F.col("_s0")) / F.nullif(F.col("_k1") - F.col("_k0"), F.lit(0))).alias("_mean")))
+    rows = merges
+    for side in ("left", "right"):
+        about = means.select(F.col("node.made").alias(f"{side}_made"), F.col("node.row").alias(f"{side}_row"), F.col("_mean").alias(f"_{side}"))
+        rows = rows.join(about, [f"{side}_made", f"{side}_row"], "left")
+    turn = F.coalesce(F.col("_left") > F.col("_right"), F.lit(False))
+    swapped = [F.when(turn, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for a, b in (("left", "right"), ("right", "left")) for c in ("made", "row")]
+    return rows.select(*swapped, "height", "size", "made", "row")

@@ -8,6 +8,7 @@ from strandmap.operators import clusters as CL
 from strandmap.operators import contacts as C
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
+from strandmap.operators import lineage
 from strandmap.operators import peaks as PK
 from strandmap.operators import trees as T
 from strandmap.plans.fixtures import duckdb_sql, view
@@ -62,7 +63,15 @@ def _tree(contacts):
     return merges.select("left_row", "right_row", F.round("height", 9).alias("height"), "size", "made", "row")
 
 
+def _tree_order(contacts):
+    entries = _profiles(contacts)
+    merges = lineage.cut(T.ward(T.leaves(entries)))
+    means = entries.groupBy("row").agg(F.sum(F.col("col") * F.col("v")).alias("weight"))
+    return T.leaf_order(T.reordered(merges, means)).select(F.col("row").alias("cell_id"), "place")
+
+
 QUERIES = {
+    "k10_tree_order": _over(_tree_order, "contacts"),
     "k10_ward": _over(_tree, "contacts"),
     "g30_seeds": _over(_seeds, "contacts"),
     "g29_profile_clusters": _over(_cells, "contacts"),
@@ -104,17 +113,17 @@ def _rounds(n):
 
 
 _TREE = """, col AS (SELECT DISTINCT c FROM en), row_ AS (SELECT DISTINCT r FROM en),
-w(k, r, made, size, centre, lr, rr, h) AS (
-  SELECT 0, r, 0, 1::BIGINT, list(coalesce(v, 0) ORDER BY c), 0::BIGINT, 0::BIGINT, 0::DOUBLE FROM row_ CROSS JOIN col LEFT JOIN en USING (r, c) GROUP BY r
+wt AS (SELECT r, sum(c * v) AS x FROM en GROUP BY r), w(k, r, made, size, centre, lr, rr, h, x, ls) AS (
+  SELECT 0, r, 0, 1::BIGINT, list(coalesce(v, 0) ORDER BY c), 0::BIGINT, 0::BIGINT, 0::DOUBLE, any_value(x), [r] FROM row_ CROSS JOIN col LEFT JOIN en USING (r, c) JOIN wt USING (r) GROUP BY r
   UNION ALL
-  SELECT k, g, CASE WHEN two THEN k ELSE made END, size, CASE WHEN two THEN list_transform(list_zip(ca, cb), lambda z: (z[1] * na + z[2] * nb) / (na + nb)) ELSE ca END, CASE WHEN two THEN bl ELSE lr END, CASE WHEN two THEN br ELSE rr END, CASE WHEN two THEN sqrt(d) ELSE h END
-  FROM (SELECT w.k + 1 AS k, CASE WHEN w.r IN (bl, br) THEN least(bl, br) ELSE w.r END AS g, count(*) = 2 AS two, max(made) AS made, sum(size)::BIGINT AS size, min_by(centre, w.r = br) AS ca, max_by(centre, w.r = br) AS cb, min_by(size, w.r = br) AS na, max_by(size, w.r = br) AS nb, any_value(bl) AS bl, any_value(br) AS br, any_value(lr) AS lr, any_value(rr) AS rr, any_value(h) AS h, any_value(d) AS d
+  SELECT k, g, CASE WHEN two THEN k ELSE made END, size, CASE WHEN two THEN list_transform(list_zip(ca, cb), lambda z: (z[1] * na + z[2] * nb) / (na + nb)) ELSE ca END, CASE WHEN two THEN bl ELSE lr END, CASE WHEN two THEN br ELSE rr END, CASE WHEN two THEN sqrt(d) ELSE h END, x, CASE WHEN two THEN list_concat(la, lb) ELSE la END
+  FROM (SELECT w.k + 1 AS k, CASE WHEN w.r IN (bl, br) THEN least(bl, br) ELSE w.r END AS g, count(*) = 2 AS two, max(made) AS made, sum(size)::BIGINT AS size, min_by(centre, w.r = br) AS ca, max_by(centre, w.r = br) AS cb, min_by(size, w.r = br) AS na, max_by(size, w.r = br) AS nb, any_value(bl) AS bl, any_value(br) AS br, any_value(lr) AS lr, any_value(rr) AS rr, any_value(h) AS h, any_value(d) AS d, sum(x) AS x, min_by(ls, (w.x / w.size, w.r = br)) AS la, max_by(ls, (w.x / w.size, w.r = br)) AS lb
         FROM w CROSS JOIN (SELECT a.r AS bl, b.r AS br, list_sum(list_transform(list_zip(a.centre, b.centre), lambda z: (z[1] - z[2]) ** 2)) * 2 * a.size * b.size / (a.size + b.size) AS d FROM w a JOIN w b ON a.made < b.made OR (a.made = b.made AND a.r < b.r) ORDER BY d, a.made, a.r LIMIT 1) p
-        GROUP BY 1, 2))
-SELECT lr AS left_row, rr AS right_row, round(h, 9) AS height, size, made, r AS row FROM w WHERE k > 0 AND made = k"""
+        GROUP BY 1, 2))"""
 _P = PEAK
 SQL = {
-    "k10_ward": duckdb_sql(_PROFILES + _TREE, "contacts").replace("WITH ", "WITH RECURSIVE ", 1),
+    "k10_ward": duckdb_sql(_PROFILES + _TREE + " SELECT lr AS left_row, rr AS right_row, round(h, 9) AS height, size, made, r AS row FROM w WHERE k > 0 AND made = k", "contacts").replace("WITH ", "WITH RECURSIVE ", 1),
+    "k10_tree_order": duckdb_sql(_PROFILES + _TREE + " SELECT ls[i] AS cell_id, i - 1 AS place FROM (SELECT ls, unnest(range(1, size + 1)) AS i FROM w WHERE k = (SELECT max(k) FROM w))", "contacts").replace("WITH ", "WITH RECURSIVE ", 1),
     "g30_seeds": duckdb_sql(_PROFILES + _chosen(CELLS) + " SELECT cluster, c AS octave, round(v, 9) AS share FROM c0", "contacts"),
     "g29_profile_clusters": duckdb_sql(_PROFILES + _chosen(CELLS) + _rounds(ROUNDS) + " SELECT r AS cell_id, cluster FROM lb", "contacts"),
     "g14_normalised_pairs": duckdb_sql(_PAIRS + " SELECT * FROM nm", "contacts", "frags"),

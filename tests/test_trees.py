@@ -67,6 +67,22 @@ def test_merges_in_order(spark):
     assert [(r.left_made, r.left_row, r.right_made, r.right_row) for r in merges] == [(0, 0, 0, 1), (0, 2, 0, 3), (1, 0, 2, 2)]
 
 
+def test_sides_by_mean_weight(spark):
+    rng = np.random.default_rng(3)
+    rows = {i: r for i, r in enumerate(rng.normal(5, 2, (17, 2)))}
+    weight = {i: float(rng.normal()) for i in rows if i % 5}  # some leaves have none
+    merges = T.ward(T.leaves(entries(spark, rows)))
+    turned = T.reordered(merges, spark.createDataFrame([(i, w) for i, w in weight.items()], "row long, weight double"))
+    assert members(turned.collect()).keys() == members(merges.collect()).keys()
+    sets = {}
+    for r in sorted(turned.collect(), key=lambda r: r.made):
+        a, b = (sets.get((m, x), [x]) for m, x in ((r.left_made, r.left_row), (r.right_made, r.right_row)))
+        means = [np.mean([weight[i] for i in s if i in weight] or [np.nan]) for s in (a, b)]
+        assert not means[0] > means[1] + 1e-12
+        sets[r.made, r.row] = a + b
+    assert [r.row for r in T.leaf_order(turned).orderBy("place").collect()] == max(sets.values(), key=len)
+
+
 def test_no_leaves_or_one(spark):
     one = entries(spark, {4: np.array([1.0])})
     for df in (one, one.limit(0)):
