@@ -104,13 +104,7 @@ def nearest_rows(distances: DataFrame, k: int) -> DataFrame:
 
 
 def spectral_embedding(edges: DataFrame, dims: int = 2) -> list[tuple[int, list[float]]]:
-    """Laplacian eigenvectors 1 .. dims of a graph over cells (edges i, j; either direction counts). Dense, on the driver: cells only."""
-    got = np.array([(r.i, r.j) for r in edges.select("i", "j").distinct().collect()], np.int64).reshape(-1, 2)
-    nodes, place = np.unique(got, return_inverse=True)
-    place = place.reshape(got.shape)
-    a = np.zeros((len(nodes), len(nodes)))
-    a[place[:, 0], place[:, 1]] = a[place[:, 1], place[:, 0]] = 1
-    _, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a)
-    chosen = vectors[:, 1 : dims + 1]
-    chosen = chosen * np.sign(chosen[np.abs(chosen).argmax(0), np.arange(chosen.shape[1])])
-    return [(int(n), v.tolist()) for n, v in zip(nodes, chosen, strict=True)]
+    """Laplacian eigenvectors 1 .. dims of a graph over cells (edges i, j; either direction counts), a row a cell; ``projection.embedding`` keeps them as a table."""
+    from strandmap.operators.projection import embedding
+
+    return sorted((r.node, list(r.vector)) for r in embedding(edges, dims)[0].collect())

@@ -10,10 +10,12 @@ from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
 from strandmap.operators import lineage
 from strandmap.operators import peaks as PK
+from strandmap.operators import projection as PR
 from strandmap.operators import trees as T
 from strandmap.plans.fixtures import duckdb_sql, view
 
 CELLS, DOMAINS, ROUNDS, QUANTILE = 4, 3, 2, 0.825
+NEAR = 7
 DELTA, TRIM = 1.0, -3.0
 PEAK = {"size": 3_000_000, "width": 2, "high": 2.0, "around": 0.5, "distance": 9_000_000, "least": 100}
 
@@ -22,9 +24,15 @@ def _over(f, *views):
     return lambda spark, sf: f(*(view(spark, sf, v) for v in views))
 
 
+def _octaves(contacts):
+    """Contacts of each cell within chromosomes by octave of distance; octaves without contacts are missing."""
+    rows = contacts.where("chrom1 = chrom2 and start2 > start1")
+    return rows.groupBy(F.col("cell_id").alias("row"), F.length(F.bin(F.col("start2") - F.col("start1"))).alias("col")).agg(F.count("*").alias("n"))
+
+
 def _profiles(contacts):
     """Shares of the octaves of distance in each cell's contacts within chromosomes; octaves without contacts are missing."""
-    rows = contacts.where("chrom1 = chrom2 and start2 > start1").groupBy(F.col("cell_id").alias("row"), F.length(F.bin(F.col("start2") - F.col("start1"))).alias("col")).agg(F.count("*").alias("n"))
+    rows = _octaves(contacts)
     total = rows.groupBy("row").agg(F.sum("n").alias("_all"))
     return rows.join(total, "row").select("row", "col", (F.col("n") / F.col("_all")).alias("v"))
 
@@ -70,7 +78,14 @@ def _tree_order(contacts):
     return T.leaf_order(T.reordered(merges, means)).select(F.col("row").alias("cell_id"), "place")
 
 
+def _projection(contacts):
+    found, values = PR.projected(_octaves(contacts).withColumnRenamed("n", "v"), NEAR, 2)
+    axes = [F.round(F.element_at("vector", i), 6).alias(f"axis{i}") for i in (1, 2)]
+    return found.select(F.col("node").alias("cell_id"), *axes, *(F.lit(round(x, 6)).alias(f"value{i}") for i, x in enumerate(values, 1)))
+
+
 QUERIES = {
+    "g32_projection": _over(_projection, "contacts"),
     "k10_tree_order": _over(_tree_order, "contacts"),
     "k10_ward": _over(_tree, "contacts"),
     "g30_seeds": _over(_seeds, "contacts"),
@@ -120,8 +135,29 @@ wt AS (SELECT r, sum(c * v) AS x FROM en GROUP BY r), w(k, r, made, size, centre
   FROM (SELECT w.k + 1 AS k, CASE WHEN w.r IN (bl, br) THEN least(bl, br) ELSE w.r END AS g, count(*) = 2 AS two, max(made) AS made, sum(size)::BIGINT AS size, min_by(centre, w.r = br) AS ca, max_by(centre, w.r = br) AS cb, min_by(size, w.r = br) AS na, max_by(size, w.r = br) AS nb, any_value(bl) AS bl, any_value(br) AS br, any_value(lr) AS lr, any_value(rr) AS rr, any_value(h) AS h, any_value(d) AS d, sum(x) AS x, min_by(ls, (w.x / w.size, w.r = br)) AS la, max_by(ls, (w.x / w.size, w.r = br)) AS lb
         FROM w CROSS JOIN (SELECT a.r AS bl, b.r AS br, list_sum(list_transform(list_zip(a.centre, b.centre), lambda z: (z[1] - z[2]) ** 2)) * 2 * a.size * b.size / (a.size + b.size) AS d FROM w a JOIN w b ON a.made < b.made OR (a.made = b.made AND a.r < b.r) ORDER BY d, a.made, a.r LIMIT 1) p
         GROUP BY 1, 2))"""
+_GRAPH = f""", oc AS (SELECT cell_id AS r, len(ltrim(CAST(CAST(start2 - start1 AS BIT) AS VARCHAR), '0')) AS c, count(*) AS n FROM contacts WHERE chrom1 = chrom2 AND start2 > start1 GROUP BY ALL),
+col AS (SELECT DISTINCT c FROM oc), row_ AS (SELECT DISTINCT r FROM oc), fl AS (SELECT r, c, coalesce(n, 1)::DOUBLE AS n FROM row_ CROSS JOIN col LEFT JOIN oc USING (r, c)),
+sh AS (SELECT r, c, n / sum(n) OVER (PARTITION BY r) AS p FROM fl),
+ds AS (SELECT a.r AS i, b.r AS j, round(sum((a.p - b.p) * (ln(a.p) - ln(b.p))), 9) AS d FROM sh a JOIN sh b ON a.c = b.c AND a.r <> b.r GROUP BY ALL),
+nr AS (SELECT i, j FROM ds QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= {NEAR}), eg AS (SELECT i, j FROM nr UNION SELECT j, i FROM nr),
+dg AS (SELECT i, count(*) AS g FROM eg GROUP BY i), la AS (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN a.g WHEN eg.i IS NOT NULL THEN -1 ELSE 0 END::DOUBLE AS l FROM dg a CROSS JOIN dg b LEFT JOIN eg ON eg.i = a.i AND eg.j = b.i),
+m1 AS (SELECT i, j, CASE WHEN i = j THEN 1 ELSE 0 END - l / (SELECT 2 * max(g) FROM dg) - 1.0::DOUBLE / (SELECT count(*) FROM dg) AS v FROM la)"""
+
+
+def _leading(k):
+    """Matrix m{k} squared 22 times: its leading vector v{k} (i, x), the Laplacian's value e{k} (e), and m{k + 1} without both."""
+    return f""", s{k}(k, i, j, v) AS (SELECT 0, i, j, v FROM m{k} UNION ALL
+  SELECT k, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (SELECT a.k + 1 AS k, a.i, b.j, sum(a.v * b.v) AS v FROM s{k} a JOIN s{k} b ON a.j = b.i WHERE a.k < 22 GROUP BY ALL)),
+p{k} AS (SELECT i, j, v FROM s{k} WHERE k = 22), t{k} AS (SELECT i AS top, v AS big FROM p{k} WHERE i = j ORDER BY round(sqrt(v), 9) DESC, i LIMIT 1),
+v{k} AS (SELECT i, v / sqrt(big) AS x FROM p{k} JOIN t{k} ON j = top), e{k} AS (SELECT sum(a.x * l * b.x) AS e FROM la JOIN v{k} a ON a.i = la.i JOIN v{k} b ON b.i = la.j),
+m{k + 1} AS (SELECT m{k}.i, m{k}.j, v - (1 - e / (SELECT 2 * max(g) FROM dg)) * a.x * b.x AS v FROM m{k} JOIN v{k} a ON a.i = m{k}.i JOIN v{k} b ON b.i = m{k}.j CROSS JOIN e{k})"""
+
+
 _P = PEAK
 SQL = {
+    "g32_projection": duckdb_sql(
+        _GRAPH + _leading(1) + _leading(2) + " SELECT a.i AS cell_id, round(a.x, 6) AS axis1, round(b.x, 6) AS axis2, round(e1.e, 6) AS value1, round(e2.e, 6) AS value2 FROM v1 a JOIN v2 b USING (i) CROSS JOIN e1 CROSS JOIN e2", "contacts"
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "k10_ward": duckdb_sql(_PROFILES + _TREE + " SELECT lr AS left_row, rr AS right_row, round(h, 9) AS height, size, made, r AS row FROM w WHERE k > 0 AND made = k", "contacts").replace("WITH ", "WITH RECURSIVE ", 1),
     "k10_tree_order": duckdb_sql(_PROFILES + _TREE + " SELECT ls[i] AS cell_id, i - 1 AS place FROM (SELECT ls, unnest(range(1, size + 1)) AS i FROM w WHERE k = (SELECT max(k) FROM w))", "contacts").replace("WITH ", "WITH RECURSIVE ", 1),
     "g30_seeds": duckdb_sql(_PROFILES + _chosen(CELLS) + " SELECT cluster, c AS octave, round(v, 9) AS share FROM c0", "contacts"),
