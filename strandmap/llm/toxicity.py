@@ -354,7 +354,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     shards = max(1, -(-int(size[0]) // SHARD), -(-int(size[1] or 0) // SHARD_BYTES))
     rows = _learnt(docs, known, id_col, text_col, lang_col).mapInArrow(_hashed, "id long, lang string, toxic int, words binary")
     rows = rows.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "aside": F.crc32(F.concat(F.lit("aside "), F.col("id").cast("string")).cast("binary")) % CALIBRATION == 0})
-    table = shared_table(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "id"), "learnt")
+    table = shared_table(rows.repartition(shards, "shard").sortWithinPartitions("shard", "id"), "learnt")
     try:
         n = {(r.aside, r.toxic): r["count"] for r in table.groupBy("aside", "toxic").count().collect()}
         bad, good = n.get((False, 1), 0), n.get((False, 0), 0)
