@@ -7,6 +7,8 @@ sort-merge join that Spark can spread and split, instead of a nested loop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ def _cells(low: Column, high: Column, cell: int) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str, str], right_at: tuple[str, str, str], cell: int = 1_000_000, how: str = "inner") -> DataFrame:
     """Pairs whose intervals share a base; columns of both sides must differ. how: inner, left_semi or left_anti.
 
-    A pair is reported once: in the cell that holds the start of their intersection.
+    A pair is reported once: in the cell that holds the start of their intersection. left_anti knows rows by their values,
+    which are the same however often Spark computes ``left``; row numbers of two computations need not be.
     """
     lc, ls, le = left_at
     rc, rs, re_ = right_at
-    if how != "inner":
+    if how == "left_semi":
         left = left.withColumn("_row", F.monotonically_increasing_id())
     a = left.withColumn("_cell", F.explode(_cells(F.col(ls), F.col(le) - 1, cell)))
     b = right.withColumn("_other_cell", F.explode(_cells(F.col(rs), F.col(re_) - 1, cell)))
@@ -33,8 +36,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str, str
         return a.join(b, both & (F.floor(F.greatest(ls, rs) / cell) == F.col("_cell"))).drop("_cell", "_other_cell")
     if how == "left_semi":
         return a.join(b, both, "left_semi").dropDuplicates(["_row"]).drop("_cell", "_row")
-    hit = a.join(b, both, "left_semi").select("_row").distinct()
-    return left.join(hit, "_row", "left_anti").drop("_row")
+    hit = a.join(b, both, "left_semi").select(*(F.col(c).alias(f"_hit_{c}") for c in left.columns)).distinct()
+    return left.join(hit, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in left.columns)), "left_anti")
 
 
 def containing(points: DataFrame, intervals: DataFrame, chrom: str, at: str, key: str, prefix: str, cell: int = 1_000_000) -> DataFrame:
