@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandmap.operators import contacts as C
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
+from strandmap.operators import loops as L
 from strandmap.operators import maps as MA
 from strandmap.operators import windows as W
 from strandmap.plans.fixtures import CHROM_LEN, duckdb_sql, view
@@ -53,6 +54,10 @@ def _near(contacts, sites):
     return MA.near_loops(contacts, MA.loops(sites, 200_000, 1_000_000), 200_000)
 
 
+#: How far apart the sites of a loop are, and how near its contacts.
+BAND, REACH = (200_000, 1_000_000), 200_000
+
+
 QUERIES = {
     "a30_named_set": _over(lambda s: s.where("type = 'F'").select("site_id", "chrom", "start", "end_"), "sites"),
     "c30_centers": _over(lambda f: I.centers(f), "frags"),
@@ -63,7 +68,7 @@ QUERIES = {
     "d11_well_covered": _over(lambda c: I.canonic(I.screen(_coverage_bins(c), F.col("area") >= 50, 1_000_000)).select("chrom", "start", "end_"), "contacts"),
     "d12_domain_lengths": _over(lambda f: f.where("end_ - start between 985000 and 1015000"), "frags"),
     "d13_without_gaps": _over(lambda f, s: I.overlap_join(f, s.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end_").alias("end2")), ("chrom", "start", "end_"), ("chrom2", "start2", "end2"), how="left_anti"), "frags", "sites"),
-    "d14_quadrants": _over(lambda c, s: MA.loop_counts(_near(c, s), ["chrom"]), "contacts", "sites"),
+    "d14_quadrants": _over(lambda c, s: L.quadrants(c.withColumn("chrom", F.col("chrom1")), s, BAND, REACH, ["chrom"]), "contacts", "sites"),
     "d16_per_kb": _over(lambda c, f: DO.per_kb(c, f, 64, 0.0001, 0.01), "contacts", "frags"),
     "e01_nearest_fragment": _over(lambda c, f: I.nearest_end(c.select("chrom1", "start1").distinct(), f, "chrom1", "start1", 50_000), "contacts", "frags"),
     "e04_fends_joined": _over(lambda c, f: c.withColumns({"fend1": F.col("start1") % 1000 * 2, "fend2": F.col("start2") % 1000 * 2 + 1}).join(f.select((F.col("fid") * 2).alias("fend1"), F.col("chrom").alias("chr1"), F.col("start").alias("coord1")), "fend1", "left").join(f.select((F.col("fid") * 2 + 1).alias("fend2"), F.col("chrom").alias("chr2"), F.col("end_").alias("coord2")), "fend2", "left").groupBy("chr1", "chr2").agg(F.count("*").alias("n"), F.sum("coord1").alias("c1"), F.sum("coord2").alias("c2")), "contacts", "frags"),
