@@ -77,7 +77,7 @@ QUERIES = {
     "e14_containing_domain": _over(lambda c, f: I.containing(c, f, "chrom1", "start1", "fid", "fid1").groupBy("fid1").agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt")), "contacts", "frags"),
     "e16_site_classes": _over(lambda f, s: I.overlap_join(f, s.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end_").alias("end2"), "type"), ("chrom", "start", "end_"), ("chrom2", "start2", "end2")).groupBy("fid").agg(F.collect_set("type").alias("kinds")).select("fid", F.when(F.size("kinds") == 2, "B").otherwise(F.get("kinds", F.lit(0))).alias("kind")), "frags", "sites"),
     "e17_band_join": _over(lambda s: MA.loops(s, 200_000, 1_000_000), "sites"),
-    "e18_lonely_loops": _over(lambda s: (lambda p: p.join(MA.near_loops(p.select(F.lit(0).alias("cell_id"), F.col("chrom").alias("chrom1"), "start1", F.col("chrom").alias("chrom2"), "start2", F.lit(1).alias("cnt")), p, 200_000).groupBy("site1", "site2").agg(F.count("*").alias("n")).where("n > 1"), ["site1", "site2"], "left_anti"))(MA.loops(s, 200_000, 1_000_000)), "sites"),
+    "e18_lonely_loops": _over(lambda s: L.lonely(s, BAND, REACH), "sites"),
     "e19_close_borders": _over(lambda s: I.canonic(s.select("chrom", "start", "end_"), gap=20_000), "sites"),
     "e20_overlap_score": _over(lambda f, t: DO.overlap_score(f, t.select("chrom", "start", (F.col("start") + 100_000).alias("end_"), F.col("v").alias("score"))), "frags", "tor"),
     "e21_contingency": _over(lambda f, t: f.select("fid", F.when(F.col("fid") % 3 == 0, "x").otherwise("y").alias("g1")).join(_tor_of(f, t).select("fid", (F.col("v") > 0).alias("g2")), "fid").groupBy("g1").agg(F.count_if("g2").alias("early"), F.count_if(~F.col("g2")).alias("late")), "frags", "tor"),
