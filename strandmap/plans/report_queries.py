@@ -10,6 +10,7 @@ from strandmap.functions import sequence as S
 from strandmap.operators import annotation as A
 from strandmap.operators import contacts as C
 from strandmap.operators import domains as DO
+from strandmap.operators import loops as L
 from strandmap.operators import maps as MA
 from strandmap.operators import reports as R
 from strandmap.plans.fixtures import duckdb_sql, view
@@ -47,6 +48,10 @@ def _near(contacts, sites, reach=200_000):
     return MA.near_loops(contacts, MA.loops(sites, 200_000, 1_000_000), reach)
 
 
+#: How far apart the sites of a loop are, and how near its contacts.
+BAND, REACH = (200_000, 1_000_000), 200_000
+
+
 def _domains(frags):
     return frags.select("fid", "chrom", "start", "end_", F.when(F.col("fid") % 2 == 0, "A").otherwise("B").alias("ab"))
 
@@ -133,7 +138,7 @@ QUERIES = {
     "e24_hit_distances": _over(lambda c, s: R.hit_distances(c, _hits(s, "F"), _hits(s, "R"), 500_000).select("cell_id", "chrom1", "start1", "chrom2", "start2", "x", "y"), "contacts", "sites"),
     "f49_hotspots": _over(lambda c, s: R.hotspots(R.hit_distances(c, _hits(s, "F"), _hits(s, "F"), 1_000_000), 250_000, 1, 0.5), "contacts", "sites"),
     "f49_hotspots_plain": _over(lambda c, s: R.hotspots(R.hit_distances(c, _hits(s, "F"), _hits(s, "F"), 1_000_000), 250_000, 1, 0.5, smooth=False), "contacts", "sites"),
-    "g23_group_pile_up": _over(lambda c, s, m: MA.pile_up(_near(c, s).join(_groups(m), "cell_id"), 200_000, 5, ("grp",)), "contacts", "sites", "cells"),
+    "g23_group_pile_up": _over(lambda c, s, m: L.pile_up(c.join(_groups(m), "cell_id"), s, BAND, REACH, 5, ("grp",)), "contacts", "sites", "cells"),
     "g24_replicated_loops": _over(lambda c, s, t: R.replicated_loops(_near(c, s), t, 100_000, 50_000, 200_000, 0.8), "contacts", "sites", "tor"),
     "f57_inner_contacts": _over(_tagged_loops, "contacts", "sites"),
     "g27_cut_domains": _over(_scored, "contacts", "frags"),
