@@ -14,6 +14,7 @@ from strandmap.operators import annotation as A
 from strandmap.operators import areas as AR
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
+from strandmap.operators import loops as L
 from strandmap.operators import maps as MA
 from strandmap.operators.lineage import cut
 
@@ -108,10 +109,10 @@ def nearest_loop(near: DataFrame) -> DataFrame:
     return near.withColumn("_rank", F.rank().over(by)).where("_rank = 1").drop("_rank")
 
 
-def replicated_loops(near: DataFrame, track: DataFrame, size: int, inner: int, outer: int, quantile: float) -> DataFrame:
-    """Loops whose focal enrichment is in the upper part from ``quantile`` on, with the replication classes of both sides (0: none known)."""
-    enr = MA.focal_enrichment(near, inner, outer, ["chrom", "site1", "start1", "site2", "start2"])
-    floor = enr.agg(F.percentile("enr", F.lit(quantile)).alias("_least"))
+def replicated_loops(counted: DataFrame, track: DataFrame, size: int, inner: int, outer: int, quantile: float) -> DataFrame:
+    """Loops (see ``loops.counts``) whose focal enrichment is in the upper part from ``quantile`` on, with the replication classes of both sides (0: none known)."""
+    enr = L.enrichment(counted, inner, outer)
+    floor = enr.groupBy("enr").agg(F.count("*").alias("_n")).agg(F.percentile("enr", F.lit(quantile), F.col("_n")).alias("_least"))
     rows = enr.join(F.broadcast(floor)).where(F.col("enr") >= F.col("_least"))
     for i in (1, 2):
         at = track.select("chrom", (F.floor(F.col("start") / size)).alias(f"_b{i}"), D.tor_class(F.col("v")).alias(f"tor{i}"))

@@ -139,7 +139,7 @@ QUERIES = {
     "f49_hotspots": _over(lambda c, s: R.hotspots(R.hit_distances(c, _hits(s, "F"), _hits(s, "F"), 1_000_000), 250_000, 1, 0.5), "contacts", "sites"),
     "f49_hotspots_plain": _over(lambda c, s: R.hotspots(R.hit_distances(c, _hits(s, "F"), _hits(s, "F"), 1_000_000), 250_000, 1, 0.5, smooth=False), "contacts", "sites"),
     "g23_group_pile_up": _over(lambda c, s, m: L.pile_up(c.join(_groups(m), "cell_id"), s, BAND, REACH, 5, ("grp",)), "contacts", "sites", "cells"),
-    "g24_replicated_loops": _over(lambda c, s, t: R.replicated_loops(_near(c, s), t, 100_000, 50_000, 200_000, 0.8), "contacts", "sites", "tor"),
+    "g24_replicated_loops": _over(lambda c, s, t: R.replicated_loops(L.counts(c, s, BAND, 50_000, REACH), t, 100_000, 50_000, REACH, 0.8), "contacts", "sites", "tor"),
     "f57_inner_contacts": _over(_tagged_loops, "contacts", "sites"),
     "g27_cut_domains": _over(_scored, "contacts", "frags"),
     "k21_class_expectation": _over(lambda c, f: R.class_expectation(c, _domains(f)), "contacts", "frags"),
