@@ -104,7 +104,7 @@ QUERIES = {
     "g09_triangles": _over(lambda c, f: MA.triangles(c, f.select("chrom", F.col("start").alias("at")), 300_000, 1000), "contacts", "frags"),
     "g13_border_points": _over(lambda c: MA.insulation(c, 2_000_000, 500_000).where("insulation is not null").groupBy("chrom").agg(F.min(F.struct("insulation", "start")).alias("m")).select("chrom", F.col("m.start").alias("start"), F.col("m.insulation").alias("insulation")), "contacts"),
     "g22_pile_up": _over(lambda c, s: L.pile_up(c, s, BAND, REACH, 21), "contacts", "sites"),
-    "g25_loop_enrichment": _over(lambda c, s: MA.focal_enrichment(_near(c, s), 50_000, 200_000, ["site1", "site2"]), "contacts", "sites"),
+    "g25_loop_enrichment": _over(lambda c, s: L.enrichment(L.counts(c, s, BAND, 50_000, REACH), 50_000, REACH).select("site1", "site2", "n1", "n2", "enr"), "contacts", "sites"),
     "f56_loop_counts": _over(lambda c, s: L.quadrants(c, s, BAND, REACH, ["cell_id"]), "contacts", "sites"),
     "l06_genome_map": _over(lambda c: MA.binned_map(c, 8_000_000), "contacts"),
     "h01_cyclic_mean": _over(lambda c: W.cyclic_roll(_ordered(c), "ord", "trans", 11).select("ord", "rolled"), "contacts"),
