@@ -1,8 +1,8 @@
-"""Two-dimensional windows over contacts: insulation, direction, asymmetry, loops, pile-ups, binned maps."""
+"""Two-dimensional windows over contacts: insulation, direction, asymmetry, loops, binned maps."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import distance as D
@@ -85,38 +85,3 @@ def loops(sites: DataFrame, low: int, high: int) -> DataFrame:
     f = sites.where("type = 'F'").select("chrom", F.col("start").alias("start1"), F.col("site_id").alias("site1"))
     r = sites.where("type = 'R'").select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("site_id").alias("site2"))
     return band_pairs(f, r, low, high).select("chrom", "site1", "start1", "site2", "start2")
-
-
-def near_loops(contacts: DataFrame, pairs: DataFrame, reach: int) -> DataFrame:
-    """Contacts with both ends within +-reach of a loop's anchors (dx, dy): range join in two dimensions by cells of 2 * reach."""
-    cell = 2 * reach
-    cis = contacts.where(D.is_cis()).select("cell_id", F.col("chrom1").alias("_c"), F.col("start1").alias("x"), F.col("start2").alias("y"), "cnt", F.floor(F.col("start1") / cell).alias("_x"), F.floor(F.col("start2") / cell).alias("_y"))
-    cut = pairs.withColumn("_a", F.explode(F.sequence(F.floor((F.col("start1") - reach) / cell), F.floor((F.col("start1") + reach) / cell)))).withColumn("_b", F.explode(F.sequence(F.floor((F.col("start2") - reach) / cell), F.floor((F.col("start2") + reach) / cell))))
-    dx, dy = F.col("x") - F.col("start1"), F.col("y") - F.col("start2")
-    rows = cis.join(cut, (F.col("_c") == F.col("chrom")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")) & (F.abs(dx) <= reach) & (F.abs(dy) <= reach))
-    return rows.withColumns({"dx": dx, "dy": dy}).drop("_c", "_x", "_y", "_a", "_b", "x", "y")
-
-
-def quadrants(near: DataFrame) -> dict[str, Column]:
-    """The four corners around a loop; a contact level with an anchor is in both quadrants that meet there."""
-    dx, dy = F.col("dx"), F.col("dy")
-    return {"oo": (dx <= 0) & (dy >= 0), "oi": (dx <= 0) & (dy <= 0), "io": (dx >= 0) & (dy >= 0), "ii": (dx >= 0) & (dy <= 0)}
-
-
-def loop_counts(near: DataFrame, by: list[str]) -> DataFrame:
-    return near.groupBy(*by).agg(*(F.count_if(v).alias(k) for k, v in quadrants(near).items()), F.count("*").alias("n"))
-
-
-def focal_enrichment(near: DataFrame, inner: int, outer: int, by: list[str], floor: float = -1.0) -> DataFrame:
-    """log2 of the contacts within +-inner over those within +-outer, against the areas' ratio, not below ``floor``."""
-    close = F.count_if((F.abs("dx") <= inner) & (F.abs("dy") <= inner))
-    out = near.groupBy(*by).agg(close.alias("n1"), F.count("*").alias("n2"))
-    return out.withColumn("enr", F.when(F.col("n1") > 0, F.greatest(F.log2(F.col("n1") / F.col("n2") / (inner / outer) ** 2), F.lit(floor))).otherwise(F.lit(floor)))
-
-
-def pile_up(near: DataFrame, reach: int, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Contacts around all loops in bins x bins cells, and log2 over their mean; for each value of the columns ``by``."""
-    cell = lambda c: F.least(F.floor((F.col(c) + reach) * bins / (2 * reach + 1)), F.lit(bins - 1)).cast("int")
-    out = near.groupBy(*by, cell("dx").alias("x"), cell("dy").alias("y")).agg(F.count("*").alias("n"))
-    mean = F.sum("n").over(Window.partitionBy(*by)) / (bins * bins)  # bins x bins rows
-    return out.select(*by, "x", "y", "n", F.log2(F.col("n") / mean).alias("enr"))

@@ -102,13 +102,6 @@ def hotspots(pairs: DataFrame, size: int, omit: int, least: float = 2.0, smooth:
     return spread.groupBy("i", "j").agg(F.count("*").alias("_n"), F.avg("ratio").alias("ratio")).where("_n = 4").drop("_n")
 
 
-def nearest_loop(near: DataFrame) -> DataFrame:
-    """Of the loops near a contact (see ``maps.near_loops``) the nearest one: smallest |dx| + |dy|, then smaller site1 and site2. Equal contacts all stay."""
-    place = [F.col("start1") + F.col("dx"), F.col("start2") + F.col("dy")]
-    by = Window.partitionBy("cell_id", "chrom", *place).orderBy(F.abs("dx") + F.abs("dy"), "site1", "site2")
-    return near.withColumn("_rank", F.rank().over(by)).where("_rank = 1").drop("_rank")
-
-
 def replicated_loops(counted: DataFrame, track: DataFrame, size: int, inner: int, outer: int, quantile: float) -> DataFrame:
     """Loops (see ``loops.counts``) whose focal enrichment is in the upper part from ``quantile`` on, with the replication classes of both sides (0: none known)."""
     enr = L.enrichment(counted, inner, outer)

@@ -50,10 +50,6 @@ def _tor_of(frags, tor):
     return frags.withColumn("_bin", F.floor(mid / 100_000) * 100_000).join(tor.select("chrom", F.col("start").alias("_bin"), "v"), ["chrom", "_bin"]).select("fid", "v")
 
 
-def _near(contacts, sites):
-    return MA.near_loops(contacts, MA.loops(sites, 200_000, 1_000_000), 200_000)
-
-
 #: How far apart the sites of a loop are, and how near its contacts.
 BAND, REACH = (200_000, 1_000_000), 200_000
 

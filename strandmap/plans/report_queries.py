@@ -44,10 +44,6 @@ def _hits(sites, kind):
     return sites.where(F.col("type") == kind).select("chrom", "start")
 
 
-def _near(contacts, sites, reach=200_000):
-    return MA.near_loops(contacts, MA.loops(sites, 200_000, 1_000_000), reach)
-
-
 #: How far apart the sites of a loop are, and how near its contacts.
 BAND, REACH = (200_000, 1_000_000), 200_000
 
@@ -58,8 +54,8 @@ def _domains(frags):
 
 def _tagged_loops(contacts, sites):
     """Counts around the nearest loop by the residues of its sites, standing for their classes."""
-    one = R.nearest_loop(_near(contacts, sites)).withColumns({"type1": F.col("site1") % 4, "type2": F.col("site2") % 4})
-    return MA.loop_counts(one, ["type1", "type2"])
+    one = L.nearest(contacts, sites, BAND, REACH, []).withColumns({"type1": F.col("site1") % 4, "type2": F.col("site2") % 4})
+    return L.shares(one, ["type1", "type2"])
 
 
 def _scored(contacts, frags):
