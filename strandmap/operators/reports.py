@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import distance as D
-from strandmap.functions import measures as M
+from strandmap.functions import measures
 from strandmap.operators import annotation as A
 from strandmap.operators import areas as AR
 from strandmap.operators import domains as DO
 from strandmap.operators import intervals as I
 from strandmap.operators import loops as L
 from strandmap.operators import maps as MA
+from strandmap.operators import meetings as M
 from strandmap.operators.lineage import cut
 
 
@@ -65,16 +66,9 @@ def sampled_triangles(contacts: DataFrame, loci: DataFrame, scale: int, discard_
 def hit_distances(contacts: DataFrame, hits1: DataFrame, hits2: DataFrame, reach: int) -> DataFrame:
     """Contacts with x and y: how far side 1 is from the nearest of ``hits1`` and side 2 from that of ``hits2`` (chrom, start); both within ``reach``.
 
-    Places are measured once, however many contacts they have; of two hits equally near the one after the place counts (negative distance).
+    Of two hits equally near the one after the place counts (negative distance).
     """
-    out = contacts
-    for i, hits, name in ((1, hits1, "x"), (2, hits2, "y")):
-        places = contacts.select(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("at")).distinct().withColumn("to", F.col("at") + 1)
-        wide = hits.select(F.col("chrom").alias("_c"), F.col("start").alias("_h"), (F.col("start") - reach).alias("_s"), (F.col("start") + reach + 1).alias("_e")).distinct()
-        d = F.col("at") - F.col("_h")
-        near = I.overlap_join(places, wide, ("chrom", "at", "to"), ("_c", "_s", "_e"), max(reach, 1)).groupBy("chrom", "at").agg(F.min(F.struct(F.abs(d), d.alias("d"))).alias("_near"))
-        out = out.join(near.select(F.col("chrom").alias(f"chrom{i}"), F.col("at").alias(f"start{i}"), F.col("_near.d").alias(name)), [f"chrom{i}", f"start{i}"])
-    return out
+    return M.nearest(M.nearest(contacts, "chrom1", "start1", hits1, reach, "x"), "chrom2", "start2", hits2, reach, "y")
 
 
 def hotspots(pairs: DataFrame, size: int, omit: int, least: float = 2.0, smooth: bool = True) -> DataFrame:
@@ -150,7 +144,7 @@ def quality_series(contacts: DataFrame, near: tuple[int, int], far: int) -> Data
 def duplicate_report(contacts: DataFrame) -> DataFrame:
     """Reads and contacts of every cell, the share of contacts seen more than once, and what as many equal draws expect."""
     rows = contacts.groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("cnt").alias("reads"), (F.count_if(F.col("cnt") > 1) / F.count("*")).alias("observed"))
-    return rows.withColumn("expected", M.expected_duplicates(F.col("n"), F.col("reads")))
+    return rows.withColumn("expected", measures.expected_duplicates(F.col("n"), F.col("reads")))
 
 
 def early_coverage(contacts: DataFrame, track: DataFrame, size: int, least: float) -> DataFrame:
