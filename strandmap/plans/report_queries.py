@@ -137,7 +137,7 @@ QUERIES = {
     "g12_pool_domains": _over(lambda c, t: R.pool_domains(c, 2_000_000, 500_000, 0.25, t, 100_000, 1_000_000, 20_000_000), "contacts", "tor"),
     "e24_hit_distances": _over(lambda c, s: R.hit_distances(c.drop("cnt"), _hits(s, "F"), _hits(s, "R"), 500_000).select("cell_id", "chrom1", "start1", "chrom2", "start2", "x", "y"), "contacts", "sites"),
     "f49_hotspots": _over(lambda c, s: R.hotspots(_hit_places(c, s), 250_000, 1, 0.5), "contacts", "sites"),
-    "f49_hotspots_plain": _over(lambda c, s: R.hotspots(R.hit_distances(c, _hits(s, "F"), _hits(s, "F"), 1_000_000), 250_000, 1, 0.5, smooth=False), "contacts", "sites"),
+    "f49_hotspots_plain": _over(lambda c, s: R.hotspots(_hit_places(c, s), 250_000, 1, 0.5, smooth=False), "contacts", "sites"),
     "g23_group_pile_up": _over(lambda c, s, m: L.pile_up(c.join(_groups(m), "cell_id"), s, BAND, REACH, 5, ("grp",)), "contacts", "sites", "cells"),
     "g24_replicated_loops": _over(lambda c, s, t: R.replicated_loops(L.counts(c, s, BAND, 50_000, REACH), t, 100_000, 50_000, REACH, 0.8), "contacts", "sites", "tor"),
     "f57_inner_contacts": _over(_tagged_loops, "contacts", "sites"),
