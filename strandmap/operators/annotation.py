@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.operators import intervals as I
+from strandmap.operators import meetings as M
 
 
 def window_values(places: DataFrame, track: DataFrame, key: str, size: int, low: int = 0, high: int = 0) -> DataFrame:
@@ -66,20 +68,18 @@ def contact_type(a: Column, b: Column) -> Column:
     return named.when(pair.isin("RR", "FF"), "same").otherwise("one_sided")
 
 
-def contact_classes(contacts: DataFrame, sites: DataFrame, reach: int) -> DataFrame:
-    """Contacts with type1, type2 and type, by the sites (chrom, start, end_, type) at most ``reach`` from each side.
+def _side_number(has: dict[str, np.ndarray]) -> np.ndarray:
+    """``side_type`` as a number in NCRFB."""
+    both = has["B"] | (has["F"] & has["R"])
+    return np.where(both, 4, np.where(has["F"], 3, np.where(has["R"], 2, np.where(has["C"], 1, 0))))
 
-    Places are typed once, however many contacts they have.
-    """
-    sides = F.explode(F.array(*(F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start")) for i in (1, 2))))
-    places = contacts.select(sides.alias("p")).select("p.*").distinct().withColumn("end_", F.col("start") + 1)
-    near = sites.select(F.col("chrom").alias("_c"), (F.col("start") - reach).alias("_s"), (F.col("end_") + reach).alias("_e"), "type")
-    hit = I.overlap_join(places, near, ("chrom", "start", "end_"), ("_c", "_s", "_e"))
-    typed = hit.groupBy("chrom", "start").agg(side_type(F.collect_set("type")).alias("type"))
+
+def contact_classes(contacts: DataFrame, sites: DataFrame, reach: int) -> DataFrame:
+    """Contacts with type1, type2 and type, by the sites (chrom, start, end_, type) at most ``reach`` from each side."""
+    near = sites.select("chrom", (F.col("start") - reach).alias("start"), (F.col("end_") + reach).alias("end_"), "type")
     out = contacts
     for i in (1, 2):
-        out = out.join(typed.select(F.col("chrom").alias(f"chrom{i}"), F.col("start").alias(f"start{i}"), F.col("type").alias(f"type{i}")), [f"chrom{i}", f"start{i}"], "left")
-    out = out.na.fill("N", ["type1", "type2"])
+        out = M.covering(out, f"chrom{i}", f"start{i}", near, list("FRCB"), _side_number, list("NCRFB"), f"type{i}")
     return out.withColumn("type", contact_type(F.col("type1"), F.col("type2")))
 
 

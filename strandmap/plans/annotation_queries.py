@@ -90,7 +90,7 @@ def _two_reads(seqs):
 
 
 QUERIES = {
-    "f58_ctcf_contacts": _over(lambda c, s: A.contact_classes(c, _typed(s), 50_000).groupBy("type1", "type2", "type").agg(F.count("*").alias("n")), "contacts", "sites"),
+    "f58_ctcf_contacts": _over(lambda c, s: A.contact_classes(c.select("chrom1", "start1", "chrom2", "start2"), _typed(s), 50_000).groupBy("type1", "type2", "type").agg(F.count("*").alias("n")), "contacts", "sites"),
     "f78_values_around": _over(lambda s, t: A.window_values(s, _millionths(t), "site_id", 100_000, -150_000, 150_000), "sites", "tor"),
     "f79_rectangles": _over(lambda c, s: A.rectangle_values(_rects(s), c, "site_id", 500_000), "contacts", "sites"),
     "f76_rectangles_in_band": _over(lambda c, s: A.rectangle_values(_rects(s), c, "site_id", 500_000, (20_000, 400_000)), "contacts", "sites"),
