@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmap.operators import meetings as M
+
 #: Tables that a tile's own points are dealt to, and cells of a dense table that are held at once.
 SALTS, DENSE = 4, 1 << 21
 
@@ -130,21 +132,42 @@ def rectangle_sums(points: DataFrame, rectangles: DataFrame, keys: Sequence[str]
     return rectangles.select(*keys, *ids).distinct().join(total, [*keys, *ids], "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
 
 
-def shifted_areas(contacts: DataFrame, loci: DataFrame, shifts: dict[str, tuple[int, int, int, int]], band: tuple[int, int], tile: int = 2_000_000, weight: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def shifted_areas(contacts: DataFrame, loci: DataFrame, shifts: dict[str, tuple[int, int, int, int]], band: tuple[int, int], tile: int = 10_000_000, weight: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """For every locus (chrom, at) the contacts (or their summed ``weight``) in rectangles around it: a column for each of ``shifts``.
 
     A rectangle reaches from at + s1 to at + 1 + e1 on the first axis and from at + s2 to at + 1 + e2 on the second, as
     two-dimensional iterators of one base do with shifts (s1, e1, s2, e2); of contacts within chromosomes, as they are stored,
     those at least band[0] and less than band[1] apart count. With ``by``, loci hold those columns too.
+
+    The loci in whose rectangle a contact lies are a run of the axis: it is marked at both ends, and running sums over the loci
+    of a tile (see ``meetings``) give the areas. So work grows with contacts and loci.
     """
-    gap = F.col("start2") - F.col("start1")
+    x, y = F.col("start1"), F.col("start2")
+    gap, keys = y - x, [*by, "chrom"]
+    low, high = x - max(s[1] for s in shifts.values()), x - min(s[0] for s in shifts.values())
     cis = contacts.where((F.col("chrom1") == F.col("chrom2")) & (gap >= band[0]) & (gap < band[1]))
-    points = cis.select(*by, F.col("chrom1").alias("chrom"), F.col("start1").alias("x"), F.col("start2").alias("y"), (F.lit(1) if weight is None else weight).alias("w"))
-    shape = lambda n, s: F.struct(F.lit(n).alias("name"), *((F.col("at") + d).cast("long").alias(c) for c, d in zip(("x0", "x1", "y0", "y1"), (s[0], 1 + s[1], s[2], 1 + s[3]), strict=True)))
-    places = loci.select(*by, "chrom", "at").where("chrom is not null and at is not null").distinct()
-    rectangles = places.select(*by, "chrom", "at", F.explode(F.array(*(shape(n, s) for n, s in shifts.items()))).alias("_r")).select(*by, "chrom", "at", "_r.*")
-    sums = rectangle_sums(points, rectangles, [*by, "chrom"], ["at", "name"], tile)
-    return sums.groupBy(*by, "chrom", "at").agg(*(F.sum(F.when(F.col("name") == n, F.col("total")).otherwise(0)).alias(n) for n in shifts))
+    rows = M.spread(cis.where(low <= high), low, high, tile).select(*by, F.col("chrom1").alias("chrom"), M.CELL, x.alias(M.AT), y.alias("_y"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
+    held = loci.where("chrom is not null and at is not null").select(*keys, F.col("at").cast("long").alias(M.AT)).distinct().withColumns({M.CELL: F.floor(F.col(M.AT) / tile), M.KIND: F.lit(0)})
+
+    def read(key: tuple, places: pa.Table, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        if not len(places):
+            return
+        at = places[M.AT].to_numpy()
+        marks = np.zeros((len(shifts), len(at) + 1), np.int64)
+        for part in parts:
+            px, py, w = (part[c].to_numpy() for c in (M.AT, "_y", "_w"))
+            for row, (s1, e1, s2, e2) in zip(marks, shifts.values(), strict=True):
+                first, last = np.searchsorted(at, np.maximum(px - e1, py - e2), "left"), np.searchsorted(at, np.minimum(px - s1, py - s2), "right")
+                some = first < last
+                np.add.at(row, first[some], w[some])
+                np.subtract.at(row, last[some], w[some])
+        sums = np.cumsum(marks, 1)[:, :-1]
+        yield pa.Table.from_arrays([*(places[k] for k in keys), places[M.AT], *map(pa.array, sums)], [*keys, "at", *shifts])
+
+    types = dict(held.dtypes)
+    asked = held.join(rows.select(*keys, M.CELL).distinct(), [*keys, M.CELL], "left_semi")  # tiles without contacts need no task's time
+    found = M.meet(rows, asked, keys, read, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "at long", *(f"`{n}` long" for n in shifts)]))
+    return held.select(*keys, F.col(M.AT).alias("at")).join(found, [*keys, "at"], "left").na.fill(0, list(shifts))
 
 
 def window_sums(cells: DataFrame, keys: Sequence[str], windows: Sequence[int], tile: int = 256) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Columns of cells, of kinds (from 0; rows have ``ROW``) and of where places and rows are.
 CELL, KIND, AT, ROW = "_cell", "_kind", "_at", 9
 
+#: Rows that are handed on at once.
+FULL = 1 << 13
+
 Read = Callable[[tuple, pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.Table]]
 
 
@@ -52,17 +55,23 @@ def meet(rows: DataFrame, places: DataFrame, by: Sequence[str], read: Read, sche
     both = places.unionByName(rows.withColumn(KIND, F.lit(ROW)), allowMissingColumns=True)
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, n = [], 0  # what small cells give is handed on together
         for key, found in itertools.groupby(_cells(batches, keys), key=lambda p: p[0]):
             parts = (part for _, part in found)
             held, rest = [], []
             for part in parts:
-                n = int(np.searchsorted(part[KIND].to_numpy(), ROW))
-                held.append(part.slice(0, n))
-                if n < len(part):
-                    rest.append(part.slice(n))
+                first = int(np.searchsorted(part[KIND].to_numpy(), ROW))
+                held.append(part.slice(0, first))
+                if first < len(part):
+                    rest.append(part.slice(first))
                     break
             for out in read(key, pa.Table.from_batches(held), itertools.chain(rest, parts)):
-                yield from out.combine_chunks().to_batches(1 << 16)
+                ready.append(out)
+                if (n := n + len(out)) >= FULL:
+                    yield from pa.concat_tables(ready).combine_chunks().to_batches(1 << 16)
+                    ready, n = [], 0
+        if n:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches(1 << 16)
 
     return both.repartition(*keys).sortWithinPartitions(*keys, KIND, AT).mapInArrow(read_all, schema)
 
