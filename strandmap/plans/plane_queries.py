@@ -22,8 +22,8 @@ def _loci(frags):
 
 def _group_areas(contacts, cells, frags):
     groups = cells.select("cell_id", F.col("cond").alias("grp"))
-    names = groups.select("grp").distinct()
-    return AR.shifted_areas(contacts.join(groups, "cell_id"), _loci(frags).join(names), SHIFTS, (NEAR, 2 * SCALE), weight=F.col("cnt"), by=("grp",))
+    names = groups.select("grp").distinct()  # a row a group
+    return AR.shifted_areas(contacts.join(groups, "cell_id"), _loci(frags).crossJoin(F.broadcast(names)), SHIFTS, (NEAR, 2 * SCALE), weight=F.col("cnt"), by=("grp",))
 
 
 #: Bases of a bin, and neighbours of the scores: whole maps in bins.
