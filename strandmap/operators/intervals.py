@@ -7,11 +7,15 @@ sort-merge join that Spark can spread and split, instead of a nested loop.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmap.operators import meetings as M
 from strandmap.operators import scans as S
 
 
@@ -53,18 +57,59 @@ def neighbours(left: DataFrame, right: DataFrame, k: int = 1, low: int = 0, high
 
     The distance is 0 where they overlap, else the gap, negative where the neighbour lies before;
     ``low`` and ``high`` bound it (its size if ``absolute``). Ties go to the smaller start, then ``other``.
+    Each interval looks at the k first after it, the k last before it and the k first that overlap it, not at all in reach.
     """
-    cell = max(1, max(abs(low), abs(high)))
-    reach = (F.col("start") - cell, F.col("end_") + cell)
-    a = left.withColumn("_cell", F.explode(_cells(*reach, cell)))
-    b = right.withColumn("_other_cell", F.floor(F.col("start2") / cell)).withColumn("_cells", _cells(F.col("start2"), F.col("end2") - 1, cell))
-    b = b.withColumn("_other_cell", F.explode("_cells")).drop("_cells")
-    gap = F.when(F.col("start2") >= F.col("end_"), F.col("start2") - F.col("end_") + 1).when(F.col("end2") <= F.col("start"), F.col("end2") - F.col("start") - 1).otherwise(0)
-    pairs = a.join(b, (F.col("chrom") == F.col("chrom2")) & (F.col("_cell") == F.col("_other_cell"))).withColumn("dist", gap).drop("_cell", "_other_cell")
-    size = F.abs("dist") if absolute else F.col("dist")
-    pairs = pairs.where((size >= low) & (size <= high)).dropDuplicates([key, other])
+    reach = max(abs(low), abs(high))
+    cell = max(1, reach)
+    least, most = (max(low, 1), high) if absolute else (max(-high, 1), -low)  # sizes of the distances to those before
+    rows = M.spread(left.dropDuplicates([key]), F.col("start"), F.greatest(F.col("end_") - 1, F.col("start")), cell).withColumns({"_chrom": F.col("chrom"), M.AT: F.col("start")})
+    held = M.spread(right.dropDuplicates([other]), F.col("start2") - reach, F.col("end2") + reach, cell).withColumns({"_chrom": F.col("chrom2"), M.AT: F.col("start2"), M.KIND: F.lit(0)})
+    columns = (left.columns, right.columns)
+
+    def read(number: tuple, places: pa.Table, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        if not len(places):
+            return
+        places = places.sort_by([("start2", "ascending"), (other, "ascending")])
+        starts, ends = places["start2"].to_numpy(), places["end2"].to_numpy()
+        back = np.lexsort((np.arange(len(ends)), -ends))  # the last end first
+        longest = [ends]  # most far ends of runs of powers of two
+        while 2 * (w := 1 << (len(longest) - 1)) <= len(ends):
+            longest.append(np.maximum(longest[-1][:-w], longest[-1][w:]))
+        for part in parts:
+            lo, hi = part["start"].to_numpy(), part["end_"].to_numpy()
+            found = []
+            first = np.searchsorted(starts, hi + max(low, 1) - 1, "left")
+            before = np.searchsorted(-ends[back], least - 1 - lo, "left")
+            at = np.zeros(len(lo), np.int64)
+            for step in range(k):
+                found.append(np.where(first + step < len(starts), first + step, -1))
+                found.append(np.where(before + step < len(starts), back[np.minimum(before + step, len(starts) - 1)], -1))
+                if low <= 0 <= high:
+                    for power in reversed(range(len(longest))):  # over those that end before the row begins
+                        table = longest[power]
+                        short = (at < len(table)) & (table[np.minimum(at, len(table) - 1)] <= lo)
+                        at = at + (short << power)
+                    while (short := (at < len(ends)) & (ends[np.minimum(at, len(ends) - 1)] <= lo)).any():
+                        at = at + short
+                    found.append(np.where((at < len(ends)) & (starts[np.minimum(at, len(ends) - 1)] < hi), at, -1))
+                    at = np.minimum(at + 1, len(ends))
+            i, j = np.tile(np.arange(len(lo)), len(found)), np.concatenate(found)
+            i, j = i[j >= 0], j[j >= 0]
+            dist = np.where(starts[j] >= hi[i], starts[j] - hi[i] + 1, np.where(ends[j] <= lo[i], ends[j] - lo[i] - 1, 0))
+            size = np.abs(dist) if absolute else dist
+            good = (size >= low) & (size <= high)
+            i, j, dist = i[good], j[good], dist[good]
+            order = np.lexsort((j, np.abs(dist), i))
+            i, j, dist = i[order], j[order], dist[order]
+            own = np.flatnonzero(np.diff(i, prepend=-1))
+            kept = np.arange(len(i)) - np.repeat(own, np.diff(np.append(own, len(i)))) < k
+            a = pa.Table.from_batches([part.select(columns[0])]).take(pa.array(i[kept]))
+            b = places.select(columns[1]).take(pa.array(j[kept]))
+            yield pa.Table.from_arrays([*a.columns, *b.columns, pa.array(dist[kept])], [*columns[0], *columns[1], "dist"])
+
+    pairs = M.meet(rows, held, ["_chrom"], read, ", ".join([*(f"`{c}` {t}" for c, t in left.dtypes + right.dtypes), "dist long"]))
     order = Window.partitionBy(key).orderBy(F.abs("dist"), "start2", other)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.dropDuplicates([key, other]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def band_pairs(left: DataFrame, right: DataFrame, low: int, high: int) -> DataFrame:
